@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe
+from corvane.llm import bpe, packing
 from corvane.sources.tables import load
 
 
@@ -13,6 +13,13 @@ def p7_ids(spark, d):
     return bpe.encode_texts(load(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_containers(spark, d):
+    """Containers of 2,048 tokens over all documents."""
+    sizes = bpe.encode_texts(load(spark, d, "documents"), "doc_id", "text").select("doc_id", F.size("ids").alias("tokens"))
+    return packing.pack(sizes, "doc_id", "tokens", 2048).select(
+        "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("used").alias("container_tokens"))
+
+
+QUERIES = {"p8_containers": p8_containers, "p7_ids": p7_ids}
 
 SQL: dict[str, str] = {}

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, packing
+from corvane.llm import bpe, packing, splitting
 from corvane.sources.tables import load
 
 
+def p1_found(spark, d):
+    """Requests whose item had to be cut, and whether it offers natural boundaries throughout."""
+    pieces = splitting.split_oversized(splitting.requested_items(spark, d), "request_id", "item", "limit", "overlap", only_oversized=True)
+    return pieces.filter("piece = 0").select(
+        F.col("key").alias("request_id"), F.when(F.col("has_stretch"), "forced").otherwise("natural").alias("cut"))
+
+
+def p1_pieces(spark, d):
+    """Every piece of every requested item."""
+    pieces = splitting.split_oversized(splitting.requested_items(spark, d), "request_id", "item", "limit", "overlap")
+    return pieces.select(F.col("key").alias("request_id"), "piece", "start_char", "end_char", "cut", "content")
+
+
 def p7_ids(spark, d):
     """doc_id and ids of every document's text."""
     return bpe.encode_texts(load(spark, d, "documents"), "doc_id", "text")
@@ -20,6 +33,19 @@ def p8_containers(spark, d):
         "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("used").alias("container_tokens"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p7_ids": p7_ids}
-
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_containers": p8_containers, "p7_ids": p7_ids}
+
+SQL: dict[str, str] = {
+    "p1_found": r"""
+with b as (select canonical_path p, content from code_index_source_blobs),
+r as (select request_id, wing, text item from ingest_requests where tool in ('ingest_text', 'ingest_raw')
+  union all
+  select request_id, wing, content from (
+    select request_id, wing, '/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      replace(trim(path), chr(92), '/'), '^file://', ''), '/+(\./+)*', '/', 'g'), '/[^/]+/\.\./', '/', 'g'), '^/', '') q
+    from ingest_requests where tool = 'ingest_file' and path is not null) join b on q = p),
+l as (select request_id, item, coalesce(c.chunk_size, (select chunk_size from chunk_profiles where wing = '*')) n
+  from r left join chunk_profiles c on lower(trim(r.wing)) = c.wing)
+select request_id, case when list_max(list_transform(string_split_regex(item, '[\s\p{Z}.!?…。！？।؟,;:，、；：،]+'), lambda x: length(x))) > n then 'forced' else 'natural' end cut
+from l where length(item) > n""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, packing, splitting
+from corvane.llm import bpe, neighbours, packing, splitting
 from corvane.sources.tables import load
 
 
@@ -21,6 +21,21 @@ def p1_pieces(spark, d):
     return pieces.select(F.col("key").alias("request_id"), "piece", "start_char", "end_char", "cut", "content")
 
 
+DIMS = 64
+
+
+def p6_found(spark, d):
+    """Pairs of chunks of cosine 0.92 or more, one among the five most similar of the other."""
+    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5, least=0.92)
+    return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
+
+
+def p6_most_similar(spark, d):
+    """The five most similar chunks of every chunk."""
+    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5, degree=16, trees=6, rounds=4, reverse=12)
+    return near.select("id", "other", F.round("sim", 9).alias("sim"), "rank")
+
+
 def p7_ids(spark, d):
     """doc_id and ids of every document's text."""
     return bpe.encode_texts(load(spark, d, "documents"), "doc_id", "text")
@@ -33,7 +48,7 @@ def p8_containers(spark, d):
         "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("used").alias("container_tokens"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_containers": p8_containers, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p8_containers": p8_containers, "p7_ids": p7_ids}
 
 SQL: dict[str, str] = {
     "p1_found": r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, neighbours, packing, splitting
+from corvane.llm import bpe, markup, neighbours, packing, splitting
 from corvane.sources.tables import load
 
 
@@ -21,6 +21,21 @@ def p1_pieces(spark, d):
     return pieces.select(F.col("key").alias("request_id"), "piece", "start_char", "end_char", "cut", "content")
 
 
+def p4_found(spark, d):
+    """Kinds of markup in each requested text."""
+    calls = load(spark, d, "ingest_requests")
+    model = markup.fit(calls, "request_id", "text")
+    return markup.markup_kinds(calls, "request_id", "text", model).select(F.col("key").alias("request_id"), "markup")
+
+
+def p4_clean(spark, d):
+    """Clean text of each ingest_text and ingest_raw call, block by block."""
+    calls = load(spark, d, "ingest_requests")
+    model = markup.fit(calls, "request_id", "text")
+    texts = calls.filter(F.col("tool").isin("ingest_text", "ingest_raw"))
+    return markup.clean_texts(texts, "request_id", "text", model).withColumnRenamed("key", "request_id")
+
+
 DIMS = 64
 
 
@@ -48,7 +63,7 @@ def p8_containers(spark, d):
         "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("used").alias("container_tokens"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p8_containers": p8_containers, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p8_containers": p8_containers, "p7_ids": p7_ids}
 
 SQL: dict[str, str] = {
     "p1_found": r"""

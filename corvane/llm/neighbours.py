@@ -18,11 +18,13 @@ make up for.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,18 +34,34 @@ from corvane.sources.tables import written
 GRAPH = "id bigint, ids array<bigint>, sims array<float>"
 
 
+def _raw(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """Usable vectors as the bytes of their 32-bit values, with two hashes of their direction."""
+    for batch in batches:
+        ids, col = batch.column(0), batch.column(1)
+        lens = np.diff(np.asarray(col.offsets))
+        ok = (lens == dims) & np.asarray(col.is_valid()) & np.asarray(ids.is_valid())
+        keep = np.flatnonzero(ok)
+        flat = col.take(pa.array(keep)).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, dims)  # a null becomes NaN
+        n = np.linalg.norm(x.astype(np.float64), axis=1)
+        good = np.isfinite(x).all(1) & (n > 0)
+        x, n, keep = x[good], n[good], keep[good]
+        unit = (x.astype(np.float64) / n[:, None]).astype("<f8") + 0.0
+        digest = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in unit]
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(keep)).cast(pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
+            ["id", "h", "raw"])
+
+
 def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(id, x): vectors of ``dims`` finite values, not all zero, one row per id, as doubles of length one."""
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return (
-        df.filter(F.col(key).isNotNull() & (F.size(F.col(vector)) == dims))
-        .select(F.col(key).cast("long").alias("id"), v.alias("v"))
-        .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-        .withColumn("n", norm).filter((F.col("n") > 0) & (F.col("n") != float("inf")))
-        .select("id", F.transform("v", lambda x: x / F.col("n")).alias("x"))
-        .groupBy("id").agg(F.first("x").alias("x"))
-    )
+    """(id, h, raw): vectors of ``dims`` finite values, not all zero, one row per id; h is equal for equal directions."""
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    return rows.mapInArrow(partial(_raw, dims=dims), "id bigint, h binary, raw binary").dropDuplicates(["id"])
+
+
+def _units(raw: list[bytes], dims: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), "<f4").reshape(-1, dims).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _pack(x: np.ndarray) -> np.ndarray:
@@ -58,10 +76,10 @@ def _unpack(codes: list[bytes], dims: int) -> np.ndarray:
     return raw[:, 2:].astype(np.float32) * raw[:, :2].copy().view("<f4")
 
 
-def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(frames: Iterator[pd.DataFrame], dims: int) -> Iterator[pd.DataFrame]:
     for f in frames:
         if len(f):
-            yield pd.DataFrame({"id": f["id"], "code": [r.tobytes() for r in _pack(np.stack(f["x"].to_numpy()))]})
+            yield pd.DataFrame({"id": f["id"], "code": [r.tobytes() for r in _pack(_units(f["raw"].tolist(), dims))]})
 
 
 def fit_tree(sample: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, float]]:
@@ -161,9 +179,8 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     """The k best distinct neighbours of each id over several lists of it."""
     flat = lists.select("id", F.arrays_zip("sims", "ids").alias("n")).groupBy("id").agg(F.flatten(F.collect_list("n")).alias("n"))
     # sims of one pair agree in all lists, so equal pairs are equal structs
-    best = F.slice(F.reverse(F.array_sort(F.array_distinct(F.transform("n", lambda x: F.struct(x["sims"].alias("s"), (-x["ids"]).alias("i")))))), 1, k)
-    return flat.select("id", best.alias("b")).select(
-        "id", F.transform("b", lambda x: -x["i"]).alias("ids"), F.transform("b", lambda x: x["s"]).alias("sims"))
+    best = F.slice(F.sort_array(F.array_distinct("n"), asc=False), 1, k)
+    return flat.select("id", best.alias("b")).select("id", F.col("b.ids").alias("ids"), F.col("b.sims").alias("sims"))
 
 
 def _meet(frames: Iterator[pd.DataFrame], k: int, dims: int) -> Iterator[pd.DataFrame]:
@@ -228,12 +245,12 @@ def knn_graph(
     vectors: DataFrame, dims: int, degree: int = 10, trees: int = 3, leaf: int = 160, rounds: int = 2, reverse: int = 8,
     sample_rows: int = 20_000, cell_rows: int = 4_000, seed: int = 7, floor: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(graph, codes): (id, ids, sims) with the ``degree`` nearest found for every id of (id, x), and (id, code).
+    """(graph, codes): (id, ids, sims) with the ``degree`` nearest found for every id of (id, raw), and (id, code).
 
     The routing trees are fitted on at most ``sample_rows`` vectors; every vector is routed and compared.
     With a ``floor`` only neighbours of neighbours over links of at least that similarity are compared.
     """
-    codes = written(vectors.mapInPandas(_encode, "id bigint, code binary"), "codes")
+    codes = written(vectors.mapInPandas(partial(_encode, dims=dims), "id bigint, code binary"), "codes")
     n = codes.count()
     spark = vectors.sparkSession
     if n == 0:
@@ -254,12 +271,21 @@ def knn_graph(
     return graph, codes
 
 
-def exact_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, sim) with the cosine in double precision, a < b."""
-    left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a")
-    both = left.join(vectors.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
-    sim = F.aggregate(F.zip_with("xa", "xb", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    return both.select("a", "b", sim.alias("sim"))
+def _exact(frames: Iterator[pd.DataFrame], k: int, dims: int, least: float) -> Iterator[pd.DataFrame]:
+    """Of a node's guests the k most similar in double precision; the node is its own first guest."""
+    for f in frames:
+        hosts, others, sims = [], [], []
+        for host, ids, raw in zip(f["host"], f["ids"], f["raws"]):
+            ids = np.asarray(ids)
+            x = _units(list(raw), dims)
+            me = np.flatnonzero(ids == host)
+            rest = ids != host
+            s = np.einsum("j,ij->i", x[me[0]], x)
+            order = np.lexsort((ids[rest], -s[rest]))[:k]
+            for o, v in zip(ids[rest][order], s[rest][order]):
+                if v >= least:
+                    hosts.append(host), others.append(o), sims.append(v)
+        yield pd.DataFrame({"node": np.array(hosts, np.int64), "to": np.array(others, np.int64), "sim": np.array(sims, np.float64)})
 
 
 def most_similar(df: DataFrame, key: str, vector: str, dims: int, k: int = 5, least: float | None = None, **how) -> DataFrame:
@@ -268,32 +294,40 @@ def most_similar(df: DataFrame, key: str, vector: str, dims: int, k: int = 5, le
     Ties go to the smaller id. Equal vectors are one node of the graph: its k + 1 smallest
     ids are the only ones that can be among anybody's k most similar.
     """
-    every = written(usable(df, key, vector, dims).withColumn("h", F.xxhash64("x")), "vectors")
-    # exact groups: the hash routes, the vector itself decides
-    nodes = every.groupBy("h", "x").agg(F.min("id").alias("node"))
-    member = every.join(nodes, ["h", "x"]).select("id", "node")
-    many = member.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1)
-    firsts = written(many.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("firsts")), "groups")
-    vectors = nodes.select(F.col("node").alias("id"), "x")
+    every = written(usable(df, key, vector, dims), "vectors")
+    member = every.select("id", "h")
+    nodes = member.groupBy("h").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    # only groups of equal vectors need their smallest ids; ranks are cut before the shuffle
+    many = member.join(nodes.filter("n > 1"), "h").select("id", "node")
+    ranked = many.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1)
+    firsts = written(ranked.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("firsts")), "groups")
+    copies = written(many.filter("id <> node"), "copies")
+    vectors = written(every.join(copies.select("id"), "id", "left_anti").select("id", "raw"), "nodes")
     if least is not None:
         how = {"floor": least - 0.12} | how  # similar pairs are reached over similar ones
     graph, _ = knn_graph(vectors, dims, **({"degree": 2 * k} | how))
-    near = graph.select("id", F.explode(F.arrays_zip("ids", "sims")).alias("e")).select(F.col("id").alias("p"), F.col("e.ids").alias("q"), F.col("e.sims").alias("s"))
-    if least is not None:
-        near = near.filter(F.col("s") >= least - 0.02)  # the codes' error is far below that
-    pairs = near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    exact = exact_pairs(pairs, vectors)
+    # whatever the codes' error leaves in doubt is compared again
+    doubt = 2e-4
+    bar = F.coalesce(F.get("sims", F.lit(k - 1)), F.lit(-2.0)) - doubt
     if least is not None:
-        exact = exact.filter(F.col("sim") >= least)
-    both = exact.select(F.col("a").alias("node"), F.col("b").alias("to"), "sim").unionByName(
-        exact.select(F.col("b").alias("node"), F.col("a").alias("to"), "sim"))
-    best = both.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "to"))).filter(F.col("r") <= k)
+        bar = F.greatest(bar, F.lit(least - doubt))
+    near = graph.select("id", F.explode(F.arrays_zip("ids", "sims")).alias("e"), bar.alias("bar")).filter(F.col("e.sims") >= F.col("bar"))
+    visits = near.select(F.col("e.ids").alias("id"), F.col("id").alias("host"))
+    hosts = visits.select(F.col("host").alias("id"), "host").distinct()
+    sent = visits.unionByName(hosts).join(vectors, "id")
+    met = sent.groupBy("host").agg(F.collect_list(F.struct("id", "raw")).alias("g")).select(
+        "host", F.col("g.id").alias("ids"), F.col("g.raw").alias("raws"))
+    best = written(met.mapInPandas(
+        partial(_exact, k=k, dims=dims, least=-2.0 if least is None else least), "node bigint, to bigint, sim double"), "best")
     # back to ids: the others of the own group come first, then the near groups' smallest ids
-    outer = best.join(firsts.select(F.col("node").alias("to"), "firsts"), "to").groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "firsts"))).alias("o"))
-    lists = member.join(firsts.filter(F.size("firsts") > 1), "node", "left").join(outer, "node", "left")
-    own = F.transform(F.coalesce("firsts", F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(-1.0).alias("d"), i.alias("i")))
-    far = F.flatten(F.transform(F.coalesce("o", F.array().cast("array<struct<d:double,firsts:array<bigint>>>")), lambda g: F.transform(g["firsts"], lambda i: F.struct(g["d"].alias("d"), i.alias("i")))))
-    ranked = F.slice(F.array_sort(F.filter(F.concat(own, far), lambda x: x["i"] != F.col("id"))), 1, k)
-    return lists.select("id", F.posexplode(ranked).alias("r", "e")).select(
-        "id", F.col("e.i").alias("other"), (-F.col("e.d")).alias("sim"), (F.col("r") + 1).alias("rank"))
+    spread = best.join(firsts.select(F.col("node").alias("to"), "firsts"), "to", "left").select(
+        "node", F.explode(F.coalesce("firsts", F.array("to"))).alias("other"), "sim")
+    own = firsts.select("node", F.explode("firsts").alias("other"), F.lit(1.0).alias("sim"))
+    wide = spread.unionByName(own)
+    # a lone vector's list is its node's; a group's members share theirs, each without itself
+    lone = wide.select(F.col("node").alias("id"), "other", "sim")
+    rest = copies.join(wide, "node").select("id", "other", "sim")
+    w = W.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return (
+        lone.unionByName(rest).filter("id <> other").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    )

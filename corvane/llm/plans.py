@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, markup, neighbours, packing, splitting
+from corvane.llm import bpe, markup, neighbours, packing, sentences, splitting
 from corvane.sources.tables import load
 
 
@@ -63,7 +63,12 @@ def p8_containers(spark, d):
         "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("used").alias("container_tokens"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p8_containers": p8_containers, "p7_ids": p7_ids}
+def p9_found(spark, d):
+    """Sentences or other smallest units of reading of every document."""
+    return sentences.sentence_units(load(spark, d, "documents"), "doc_id", "text", "kind").withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p8_containers": p8_containers, "p7_ids": p7_ids}
 
 SQL: dict[str, str] = {
     "p1_found": r"""

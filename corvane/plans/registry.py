@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems
+from corvane.plans import problems, store
 
 FLAGSHIP = "p3_found"
-MODULES = (problems,)
+MODULES = (problems, store.P)
 
 
 def queries() -> dict:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems, store
+from corvane.plans import problems, search, store
 
-FLAGSHIP = "p3_found"
-MODULES = (problems, store.P)
+FLAGSHIP = "hybrid_rrf"
+MODULES = (problems, store.P, search.P)
 
 
 def queries() -> dict:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems, search, store
+from corvane.plans import graph, problems, search, store
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (problems, store.P, search.P)
+MODULES = (problems, store.P, search.P, graph.P)
 
 
 def queries() -> dict:

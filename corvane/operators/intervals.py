@@ -23,20 +23,25 @@ DAY_US = 86_400_000_000
 BOUND = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 
 
+SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    return F.regexp_replace(c, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def bound_micros(text: Column, when_open: int) -> Column:
     """Microseconds of a written bound in UTC; ``when_open`` for null or blank, null if unreadable."""
     t = F.upper(trimmed(text))
-    zone = F.regexp_extract(t, BOUND, 3)
-    time = F.regexp_extract(t, BOUND, 2)
-    zone = F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).when(
-        zone.rlike(r"^[+-]\d{2}$"), F.concat(zone, F.lit(":00"))
-    ).when(zone == "", F.lit("Z")).otherwise(zone)
-    written = F.concat(F.regexp_extract(t, BOUND, 1), F.lit(" "), F.when(time == "", F.lit("00:00:00")).otherwise(time), zone)
+    n = F.length(t)
+    written = (
+        F.when(n == 10, F.concat(t, F.lit(" 00:00:00Z")))
+        .when(t.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), t)
+        .when(t.rlike(r"[+-]\d{4}$"), F.concat(F.substring(t, F.lit(1), n - 2), F.lit(":"), F.right(t, F.lit(2))))
+        .when(t.rlike(r":\d{2}(?:\.\d+)?[+-]\d{2}$"), F.concat(t, F.lit(":00")))
+        .otherwise(F.concat(t, F.lit("Z")))
+    )
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(when_open)).otherwise(
         F.when(t.rlike(BOUND), F.unix_micros(written.try_cast("timestamp")))
     )

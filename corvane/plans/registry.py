@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import facts, graph, problems, search, store
+from corvane.plans import code, facts, graph, problems, search, store
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (problems, store.P, search.P, graph.P, facts.P)
+MODULES = (problems, store.P, search.P, graph.P, facts.P, code.P)
 
 
 def queries() -> dict:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -34,33 +35,51 @@ STRONG = "!?。！？।؟۔"
 PAIRS = {"(": ")", "（": "）", "[": "]", "«": "»", "「": "」", "『": "』", "“": "”", "„": "“", "【": "】", "《": "》"}
 QUOTES = set("«「『“„\"")
 CLOSERS = set(PAIRS.values()) | {'"', "’", "'"}
+MARKS = re.compile('["“”' + re.escape("".join(set(PAIRS) | set(PAIRS.values()))) + "]")
+DIGIT = re.compile(r"\d")
+INNER_CJK = re.compile(r"[、，](\w{1,2})")
+AFTER = set(ENDERS) | set(PAIRS.values()) | {'"'}
 END_RUN = re.compile(rf"[{ENDERS}]+")
 LIST_LINE = re.compile(r"\s*(?:[-*+•·–—‣◦]|\(?\d{1,3}[.)]|[a-z][.)])[ \t]+\S")
 WORD = re.compile(r"[^\W_]+(?:['’_.-][^\W_]+)*", re.U)
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[ \t 　]+(?=[ก-ฺเ-๎])")
-BREAK = re.compile(r"\r\n|[\n\r\u0085 \x0b\x0c]| ")
+THAI = re.compile(r"[ก-ฺเ-๎]")
+BREAK = re.compile("\r\n|[\n\r\u0085\u2028\x0b\x0c]|\u2029")
+EXOTIC = re.compile("[\r\u0085\u2028\u2029\x0b\x0c]")
 COUNTS = ("start", "mid", "end", "inner", "right")
 HIDDEN = {"Cc", "Cf", "Zs", "Zl", "Zp"}
 
 
-def visible(c: str) -> bool:
-    return unicodedata.category(c) not in HIDDEN if not "!" <= c <= "~" else True
+class _Visible(dict):
+    """Whether a character can be seen, worked out once for each."""
+
+    def __missing__(self, c: str) -> bool:
+        v = self[c] = "!" <= c <= "~" or not c.isspace() and unicodedata.category(c) not in HIDDEN
+        return v
+
+
+VISIBLE = _Visible()
 
 
 def trim(text: str, a: int, b: int) -> tuple[int, int] | None:
     """Bounds of text[a:b] without invisible characters around it."""
-    while a < b and not visible(text[a]):
+    while a < b and not VISIBLE[text[a]]:
         a += 1
-    while b > a and not visible(text[b - 1]):
+    while b > a and not VISIBLE[text[b - 1]]:
         b -= 1
     return (a, b) if a < b else None
 
 
 def lines(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
+    if not EXOTIC.search(text):
+        for line in text.split("\n"):
+            out.append((at, at + len(line)))
+            at += len(line) + 1
+        return out
     for m in BREAK.finditer(text):
         out.append((at, m.start()))
-        if m.group(0) == " ":
+        if m.group(0) == "\u2029":
             out.append((m.end(), m.end()))  # ends a paragraph
         at = m.end()
     out.append((at, len(text)))
@@ -71,7 +90,7 @@ def paragraphs(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of lines with something visible in them."""
     run: list[tuple[int, int]] = []
     for a, b in lines(text):
-        if trim(text, a, b):
+        if a < b and (VISIBLE[text[a]] or trim(text, a, b)):
             run.append((a, b))
         elif run:
             yield run
@@ -80,23 +99,32 @@ def paragraphs(text: str) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
-def script(c: str) -> str:
-    o = ord(c)
-    if 0x0E00 <= o < 0x0E80:
-        return "thai"
-    if 0x3040 <= o < 0x3100 or 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 or 0x20000 <= o < 0x30000:
-        return "cjk"
-    if c.isdigit():
-        return "digit"
-    if c.isalpha():
-        return "upper" if c.isupper() else "lower" if c.islower() else "plain"
-    return "mark"
+class _Script(dict):
+    """Script class of a character, worked out once for each."""
+
+    def __missing__(self, c: str) -> str:
+        o = ord(c)
+        if 0x0E00 <= o < 0x0E80:
+            v = "thai"
+        elif 0x3040 <= o < 0x3100 or 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 or 0x20000 <= o < 0x30000:
+            v = "cjk"
+        elif c.isdigit():
+            v = "digit"
+        elif c.isalpha():
+            v = "upper" if c.isupper() else "lower" if c.islower() else "plain"
+        else:
+            v = "mark"
+        self[c] = v
+        return v
+
+
+SCRIPT = _Script()
 
 
 def right_token(text: str, at: int, end: int) -> tuple[str, str]:
     """(token, class) of what follows a place."""
     c = text[at]
-    kind = script(c)
+    kind = SCRIPT[c]
     if kind == "cjk":
         return text[at:min(at + 2, end)], kind
     if kind == "thai":
@@ -107,10 +135,12 @@ def right_token(text: str, at: int, end: int) -> tuple[str, str]:
         n = at + 1
         while n < end and not text[n].isalnum() and n < at + 4:
             n += 1
-        return c, "mark" + (script(text[n]) if n < end else "")
+        return c, "mark" + (SCRIPT[text[n]] if n < end else "")
     w = m.group(0)[:16]
     if kind == "digit":
-        return re.sub(r"\d", "9", w), kind
+        return DIGIT.sub("9", w), kind
+    if w.isalpha():
+        return w, kind
     return w, "ident" if "_" in w or "." in w.rstrip(".") and kind == "lower" else kind
 
 
@@ -118,17 +148,17 @@ def left_token(text: str, lo: int, at: int, run: str) -> tuple[str, str]:
     """(token, class) of the word before an end mark that starts at ``at``."""
     if run[0] != "." or len(run) > 1:
         return run[0] + ("+" if len(run) > 1 else ""), "strong" if run[0] in STRONG else "dots"
-    s = at
-    while s > lo and s > at - 24 and not text[s - 1].isspace() and text[s - 1] not in "([{«“„\"（「":
-        s -= 1
-    w = text[s:at]
+    part = text[max(lo, at - 24):at]
+    w = "" if not part or part[-1].isspace() else part.split()[-1].lstrip("([{«“„\"（「")
     if not w:
         return ".", "word."
     if w.isdigit():
-        return re.sub(r"\d", "9", w) + ".", "number."
+        return DIGIT.sub("9", w) + ".", "number."
+    if w.isalpha() and len(w) > 3:
+        return w.lower() + ".", "word."
     if len(w) == 1 and w.isalpha():
-        return (w if w.islower() or script(w) == "plain" else "X") + ".", "letter."
-    low = re.sub(r"\d", "9", w.lower())
+        return (w if w.islower() or SCRIPT[w] == "plain" else "X") + ".", "letter."
+    low = DIGIT.sub("9", w.lower())
     return low + ".", "short." if len(w) <= 3 and w.isalpha() else "word."
 
 
@@ -136,8 +166,8 @@ def spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Quotations and brackets of text[a:b] that close, outermost only."""
     stack: list[tuple[str, int]] = []
     out: list[tuple[int, int]] = []
-    for i in range(a, b):
-        c = text[i]
+    for m in MARKS.finditer(text, a, b):
+        i, c = m.start(), m.group(0)
         if c == '"':
             if any(o == '"' for o, _ in stack):
                 while stack:
@@ -151,7 +181,7 @@ def spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
             out.append((stack.pop()[1], i))
         elif c in PAIRS:
             stack.append((c, i))
-        elif c in CLOSERS and c not in "'’":
+        else:
             for d in range(len(stack) - 1, -1, -1):
                 if PAIRS.get(stack[d][0]) == c or c == "”" and stack[d][0] == "„":
                     out.append((stack[d][1], i))
@@ -185,10 +215,12 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
         s, e = m.span()
         if s < done:
             continue
-        left = left_token(text, a, s, m.group(0))
-        opened = -1
+        run = m.group(0)
+        if run == "." and e < b and ("a" <= (c := text[e]) <= "z" or "0" <= c <= "9"):
+            continue  # inside a name or a number
+        opened, left = -1, None
         while True:
-            k = int(np.searchsorted(starts, e - 1, "right")) - 1 if starts else -1
+            k = bisect_right(starts, e - 1) - 1
             if k >= 0 and outer[k][0] < e <= outer[k][1]:
                 close = outer[k][1]
                 n = e
@@ -203,15 +235,17 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
             while n < b and (text[n] in ENDERS or text[n] in "'’" and n + 1 < b and not text[n + 1].isalnum()):
                 n += 1
             if n > e:
-                left = left_token(text, a, e, text[e:n]) if text[e] in ENDERS and opened >= 0 else left
+                if text[e] in ENDERS and opened >= 0:
+                    left = left_token(text, a, e, text[e:n])
                 e = n
                 continue
             break
         if opened == -2:
             continue
         done = e
+        left = left or left_token(text, a, s, run)
         nxt = e
-        while nxt < b and not visible(text[nxt]):
+        while nxt < b and not VISIBLE[text[nxt]]:
             nxt += 1
         if nxt >= b:
             last = left
@@ -232,8 +266,8 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
         elif not gap and opened < 0 and m.group(0)[-1] in "!?" and right[1] in ("lower", "digit", "ident"):
             continue
         out.append(Place(e, nxt, left, right, opened, gap))
-    for m in THAI_GAP.finditer(text, a, b):
-        k = int(np.searchsorted(starts, m.start(), "right")) - 1 if starts else -1
+    for m in THAI_GAP.finditer(text, a, b) if THAI.search(text, a, b) else ():
+        k = bisect_right(starts, m.start()) - 1
         if not (k >= 0 and outer[k][0] < m.start() < outer[k][1]):
             out.append(Place(m.start(), m.end(), ("thai", "thai"), right_token(text, m.end(), b), -1, True, True))
     out.sort(key=lambda p: p.end)
@@ -248,7 +282,7 @@ def is_heading(text: str, run: list[tuple[int, int]]) -> bool:
     s = text[t[0]:t[1]]
     if re.match(r"#{1,6}\s", s):
         return True
-    return len(s) <= 60 and s[-1] not in ENDERS and s[-1] not in CLOSERS and not any(script(c) == "thai" for c in s[:3] if " " in s)
+    return len(s) <= 60 and s[-1] not in ENDERS and s[-1] not in CLOSERS and not any(SCRIPT[c] == "thai" for c in s[:3] if " " in s)
 
 
 def blocks(text: str, code: bool) -> Iterator[tuple[int, int, bool]]:
@@ -276,8 +310,12 @@ def blocks(text: str, code: bool) -> Iterator[tuple[int, int, bool]]:
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """n-gram counts of the places whose boundary is certain or impossible: (what, token, class, n)."""
     counts: Counter = Counter()
+    inner: Counter = Counter()  # words inside units as they stand; read as tokens once each
 
     def flush():
+        for w, n in inner.items():
+            counts["mid", *right_token(w, 0, len(w))] += n
+        inner.clear()
         rows = [(w, t, c, n) for (w, t, c), n in counts.items()]
         counts.clear()
         return pd.DataFrame(rows, columns=["what", "token", "kind", "n"])
@@ -303,12 +341,11 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for p in here:
                     counts["inner", *p.left] += 1
                     counts["right", *p.right] += 1
-                stops = {p.next for p in here}
-                for m in re.finditer(r"(?<=[^\s])(?:[ \t ]+|\r?\n)(?=\S)|(?<=[、，])(?=\S)", text[a:b]):
-                    i = a + m.end()
-                    if i not in stops and i < b and text[a + m.start() - 1] not in ENDERS:
-                        counts["mid", *right_token(text, i, b)] += 1
-        if len(counts) > 200_000:
+                words = text[a:b].split()
+                # a word after an end mark or a closing mark may begin a unit; the others stand inside one
+                inner.update([w[:24] for v, w in zip(words, words[1:]) if v[-1] not in AFTER])
+                inner.update(INNER_CJK.findall(text, a, b))
+        if len(counts) + len(inner) > 200_000:
             yield flush()
     yield flush()
 
@@ -324,6 +361,7 @@ class Model:
                 self.by[what][token] += n
             self.of[what][kind] += n
         self.total = {w: sum(c.values()) + 1.0 for w, c in self.of.items()}
+        self.seen: dict = {}
         # share of all boundaries that end a paragraph, from the marks that always end a unit
         e, i = self.of["end"]["strong"], self.of["inner"]["strong"]
         self.share = min(0.95, max(0.05, (e + 1) / (e + i + 4)))
@@ -353,15 +391,23 @@ class Model:
             x = 0.4 * x + math.log(p / (1 - p))
         return x
 
+    def cached(self, of, side: str, token: tuple[str, str]) -> float:
+        x = self.seen.get((side, token))
+        if x is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            x = self.seen[side, token] = of(*token)
+        return x
+
     def evidence(self, text: str, a: int, p: Place, prev: int) -> float:
         """Log-odds that a unit ends at a place; ``prev`` is where the possible unit before it ended."""
-        x = self.left(*p.left)
+        x = self.cached(self.left, "l", p.left)
         if p.opened >= 0:
             x = min(x, 2.0)  # a mark inside what closes here ends less than one in the open
-        x += 0.0 if p.thai else self.right(*p.right)
+        x += 0.0 if p.thai else self.cached(self.right, "r", p.right)
         if p.opened >= 0:
             before = p.opened
-            while before > a and not visible(text[before - 1]):
+            while before > a and not VISIBLE[text[before - 1]]:
                 before -= 1
             initial = before <= prev or before == a
             if text[p.opened] in QUOTES:
@@ -374,9 +420,11 @@ class Model:
         return x
 
 
-def posteriors(odds: list[float], close: list[bool]) -> np.ndarray:
+def posteriors(odds: list[float], close: list[bool]) -> list[float]:
     """Forward-backward over a chain of places; two boundaries with next to nothing between them are unlikely."""
     n = len(odds)
+    if not any(close):  # nothing ties one place to the next
+        return [1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) for x in odds]
     emit = np.stack([np.zeros(n), np.clip(odds, -30, 30)], 1)
     pair = np.zeros((n, 2, 2))
     pair[np.asarray(close, bool), 1, 1] = -2.0
@@ -389,7 +437,7 @@ def posteriors(odds: list[float], close: list[bool]) -> np.ndarray:
         x = pair[i + 1] + (emit[i + 1] + g[i + 1])[None, :]
         g[i] = np.logaddexp(x[:, 0], x[:, 1])
     s = f + g
-    return 1 / (1 + np.exp(np.clip(s[:, 0] - s[:, 1], -60, 60)))
+    return list(1 / (1 + np.exp(np.clip(s[:, 0] - s[:, 1], -60, 60))))
 
 
 def units(text: str, code: bool, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:

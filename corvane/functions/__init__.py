@@ -1 +1 @@
-
+"""Scalar and per-text functions."""

@@ -331,3 +331,53 @@ def most_similar(df: DataFrame, key: str, vector: str, dims: int, k: int = 5, le
     return (
         lone.unionByName(rest).filter("id <> other").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     )
+
+
+def _step(frames: Iterator[pd.DataFrame], dims: int) -> Iterator[pd.DataFrame]:
+    """Similarity of (q, qcode) with (id, code)."""
+    for f in frames:
+        if len(f):
+            s = np.einsum("ij,ij->i", _unpack(f["qcode"].tolist(), dims), _unpack(f["code"].tolist(), dims))
+            yield pd.DataFrame({"q": f["q"], "id": f["id"], "s": s.astype(np.float32)})
+
+
+def _enter(frames: Iterator[pd.DataFrame], ids: np.ndarray, x: np.ndarray, beam: int, dims: int) -> Iterator[pd.DataFrame]:
+    """The entry points nearest to each query."""
+    for f in frames:
+        if len(f):
+            s = _unpack(f["qcode"].tolist(), dims) @ x.T
+            m = min(beam, len(ids))
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), m), "id": ids[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel().astype(np.float32)})
+
+
+def greedy_search(
+    graph: DataFrame, codes: DataFrame, queries: DataFrame, dims: int, k: int = 5, beam: int = 24, expand: int = 6, hops: int = 8, entries: int = 512,
+    reverse: int = 12,
+) -> DataFrame:
+    """(q, id, s): for every query (q, qcode) the k nearest found by walking the graph.
+
+    Each query keeps its ``beam`` best nodes; a hop joins the graph on the best ones not yet expanded
+    and compares their neighbours. All queries walk together. The walk starts at the nearest of
+    ``entries`` nodes, a bounded set, and ends when no beam has anything left to expand.
+    """
+    start = codes.orderBy(F.xxhash64("id"), "id").limit(entries).collect()
+    if not start:
+        return queries.select("q", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("float").alias("s")).limit(0)
+    ids, x = np.array([r.id for r in start]), _unpack([r.code for r in start], dims)
+    pointed = graph.select("id", F.explode(F.arrays_zip("ids", "sims")).alias("e")).select(F.col("e.ids").alias("id"), F.col("id").alias("to"), F.col("e.sims").alias("s"))
+    back = pointed.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("s"), "to"))).filter(F.col("r") <= reverse)
+    links = written(graph.select("id", F.explode("ids").alias("to")).unionByName(back.select("id", "to")).groupBy("id").agg(F.collect_set("to").alias("tos")), "links")
+    state = written(queries.mapInPandas(partial(_enter, ids=ids, x=x, beam=beam, dims=dims), "q bigint, id bigint, s float").withColumn("done", F.lit(False)), "beam")
+    w = W.partitionBy("q").orderBy(F.desc("s"), "id")
+    for _ in range(hops):
+        opened = state.filter("not done").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= expand).select("q", "id")
+        if opened.isEmpty():
+            break
+        near = opened.join(links, "id").select("q", F.explode("tos").alias("id")).distinct().join(state.select("q", "id"), ["q", "id"], "left_anti")
+        found = near.join(queries, "q").join(codes, "id").select("q", "qcode", "id", "code").mapInPandas(partial(_step, dims=dims), "q bigint, id bigint, s float")
+        marked = state.join(opened.withColumn("o", F.lit(True)), ["q", "id"], "left").select("q", "id", "s", (F.col("done") | F.coalesce("o", F.lit(False))).alias("done"))
+        both = marked.unionByName(found.withColumn("done", F.lit(False)))
+        # what falls out of the beam would only come back to fall out again
+        state = written(both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).drop("r"), "beam")
+    return state.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "id", "s")

@@ -51,6 +51,17 @@ def p6_most_similar(spark, d):
     return near.select("id", "other", F.round("sim", 9).alias("sim"), "rank")
 
 
+def p6_search(spark, d):
+    """The five nearest chunks of every query vector, found by greedy search of the neighbour graph.
+
+    Queries are all chunks whose id is divisible by 20, against all chunks; each finds itself first.
+    """
+    every = neighbours.usable(load(spark, d, "chunks"), "id", "embedding", DIMS)
+    graph, codes = neighbours.knn_graph(every.select("id", "raw"), DIMS, degree=16, trees=4, rounds=3, reverse=12)
+    queries = codes.filter("id % 20 = 0").select(F.col("id").alias("q"), F.col("code").alias("qcode"))
+    return neighbours.greedy_search(graph, codes, queries, DIMS).select(F.col("q").alias("query_id"), F.col("id").alias("chunk_id"), F.round("s", 4).alias("sim"))
+
+
 def p7_ids(spark, d):
     """doc_id and ids of every document's text."""
     return bpe.encode_texts(load(spark, d, "documents"), "doc_id", "text")
@@ -68,7 +79,7 @@ def p9_found(spark, d):
     return sentences.sentence_units(load(spark, d, "documents"), "doc_id", "text", "kind").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p8_containers": p8_containers, "p7_ids": p7_ids}
+QUERIES = {"p9_found": p9_found, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_most_similar": p6_most_similar, "p6_search": p6_search, "p8_containers": p8_containers, "p7_ids": p7_ids}
 
 SQL: dict[str, str] = {
     "p1_found": r"""

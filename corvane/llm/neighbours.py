@@ -147,7 +147,7 @@ def _leaves(x: np.ndarray, own: np.ndarray, size: int, rng) -> Iterator[np.ndarr
 def _block_knn(frames: Iterator[pd.DataFrame], k: int, leaf: int, dims: int, most: int) -> Iterator[pd.DataFrame]:
     """Nearest neighbours inside each cell, rows arriving sorted by cell; a cell beyond ``most`` rows is taken in parts."""
 
-    def solve(cell: int, ids: np.ndarray, codes: list[bytes]) -> pd.DataFrame:
+    def solve(cell: int, ids: np.ndarray, codes: list[bytes]) -> Iterator[pd.DataFrame]:
         x, rng = _unpack(codes, dims), np.random.default_rng(cell)
         out_ids, out_n, out_s = [], [], []
         for own in _leaves(x, np.arange(len(ids)), leaf, rng):
@@ -160,19 +160,20 @@ def _block_knn(frames: Iterator[pd.DataFrame], k: int, leaf: int, dims: int, mos
             out_ids.append(ids[own])
             out_n.extend(ids[own][top])
             out_s.extend(np.take_along_axis(s, top, 1))
-        return pd.DataFrame({"id": np.concatenate(out_ids) if out_ids else np.array([], np.int64), "ids": out_n, "sims": out_s})
+        if out_ids:  # a vector alone in its cell has nobody to compare with there
+            yield pd.DataFrame({"id": np.concatenate(out_ids), "ids": out_n, "sims": out_s})
 
     cell, ids, codes = None, [], []
     for f in frames:
         for c, own in f.groupby("cell", sort=False):
             if cell is not None and (c != cell or len(ids) >= most):
-                yield solve(cell, np.array(ids, np.int64), codes)
+                yield from solve(cell, np.array(ids, np.int64), codes)
                 ids, codes = [], []
             cell = c
             ids += own["id"].tolist()
             codes += own["code"].tolist()
     if ids:
-        yield solve(cell, np.array(ids, np.int64), codes)
+        yield from solve(cell, np.array(ids, np.int64), codes)
 
 
 def _merge(lists: DataFrame, k: int) -> DataFrame:

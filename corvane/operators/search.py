@@ -99,10 +99,13 @@ def cosine(vectors: DataFrame, key: str, vector: str, query: list[float]) -> Dat
         partial(_cosine, query=np.array(query, dtype=np.float64)), "key bigint, score double")
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
+def best(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "key").limit(k)
 
 
+top_k = best
+
+
 def ranked(top: DataFrame) -> DataFrame:
     """1-based ranks of a short list."""
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "key")))
@@ -183,3 +186,81 @@ def snippet(text: Column, terms: list[str], width: int) -> Column:
     first = F.least(*places) if len(places) > 1 else places[0]
     at = F.greatest(F.coalesce(first, F.lit(1)) - width // 4, F.lit(1))
     return F.substring(text, at, F.lit(width))
+
+
+def search(
+    chunks: DataFrame, docs: DataFrame, query: str, vector: list[float] | None = None, mode: str = "hybrid", top_k: int = 10, per_document: int | None = 3,
+    least: float | None = None, half_life: float | None = None, now: str = "2026-06-01", budget: int | None = None, radius: int = 0,
+) -> DataFrame:
+    """Ranked hits of one query: (rank, chunk_id, document_id, score, snippet, context, kept).
+
+    chunks: id, document_id, chunk_index, content, embedding. docs: the allowed documents (doc_id, title, uri,
+    updated_at); chunks of others are never candidates, while term statistics stay the whole corpus's. The candidate
+    pool is max(5 k, 50) and doubles up to 4,096 while the cap per document leaves fewer than k hits, since
+    in a fused list a larger pool adds terms to hits of the smaller one. Then in this order: least score, recency, field boosts, order,
+    equal chunks once, cap per document, k, snippets, context, token budget.
+    """
+    check_query(query, top_k)
+    if mode not in ("vec", "lex", "hybrid"):
+        raise ValueError("mode is vec, lex or hybrid")
+    if mode != "lex" and vector is None:
+        raise ValueError("this mode needs a query vector")
+    from corvane.sources.tables import checkpointed
+
+    own = chunks.dropDuplicates(["id"])
+    allowed = own.join(docs.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").select(F.col("id").alias("key"), "document_id")
+    pool = max(5 * top_k, 50)
+    lex = vec = None
+    if mode != "vec":
+        lex = checkpointed(best(bm25(own, "id", "content", query, allowed.select("key")), 4096))
+    if mode != "lex":
+        near = cosine(own, "id", "embedding", vector).join(allowed.select("key"), "key", "left_semi")
+        vec = checkpointed(best(near, 4096))
+    while True:
+        legs = [ranked(best(x, pool)) for x in (vec, lex) if x is not None]
+        hits = rrf(legs) if len(legs) > 1 else legs[0].select("key", "score")
+        hits = hits.join(F.broadcast(allowed.join(F.broadcast(hits.select("key")), "key", "left_semi")), "key")
+        if per_document is None or pool >= 4096:
+            break
+        room = hits.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.sum(F.least("n", F.lit(per_document)))).first()[0] or 0
+        if room >= top_k:
+            break
+        pool = min(4096, pool * 2)
+    if least is not None:
+        hits = hits.filter(F.col("score") >= least)
+    fields = docs.select(F.col("doc_id").alias("document_id"), "title", "uri", "updated_at")
+    hits = fields.join(F.broadcast(hits), "document_id")  # at most two pools of hits
+    body = own.join(F.broadcast(hits.select(F.col("key").alias("id"))), "id", "left_semi").select(F.col("id").alias("key"), "chunk_index", "content")
+    hits = hits.join(body, "key")
+    score = F.col("score")
+    if half_life is not None:
+        score = recency(score, F.datediff(F.lit(now).cast("date"), F.to_date("updated_at")).cast("double"), half_life)
+    terms = query_terms(query)
+    uri = F.lower(F.coalesce("uri", F.lit("")))
+    in_uri = reduce(lambda a, b: a & b, [uri.contains(t) for t in terms]) if terms else F.lit(False)
+    score = score * F.when(F.lower(F.trim("title")) == query.strip().lower(), 1.35).otherwise(1.0) * F.when(in_uri, 1.15).otherwise(1.0)
+    hits = hits.withColumn("score", score)
+    order = W.orderBy(F.desc("score"), "document_id", "chunk_index", "key")
+    hits = hits.withColumn("rank", F.row_number().over(order))
+    if per_document is not None:
+        hits = capped(hits, "document_id", per_document)
+    hits = hits.orderBy("rank").limit(top_k).withColumn("rank", F.row_number().over(W.orderBy("rank")))
+    hits = hits.withColumn("snippet", snippet(F.col("content"), terms, 160) if terms else F.substring("content", 1, 160))
+    if radius:
+        spots = hits.select("document_id", F.col("chunk_index").alias("seed")).distinct()
+        reach = spots.withColumn("chunk_index", F.explode(F.sequence(F.col("seed") - radius, F.col("seed") + radius)))
+        near = own.select("document_id", "chunk_index", "id", "content").join(F.broadcast(reach), ["document_id", "chunk_index"])
+        parts = near.groupBy("document_id", F.col("seed").alias("chunk_index")).agg(
+            F.array_join(F.sort_array(F.collect_list(F.struct("chunk_index", "id", "content")))["content"], "\n").alias("context"))
+        hits = hits.join(parts, ["document_id", "chunk_index"], "left")
+    else:
+        hits = hits.withColumn("context", F.col("content"))
+    hits = hits.withColumn("cost", token_estimate(F.col("context")))
+    hits = packed(hits, budget) if budget is not None else hits.withColumn("kept", F.col("cost"))
+    return hits.select("rank", F.col("key").alias("chunk_id"), "document_id", "score", "snippet", "context", "kept")
+
+
+def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """Hits (key, rank) in the order of outside scores (key, s); those without keep their order behind the others."""
+    w = W.orderBy(F.col("s").desc_nulls_last(), "rank")
+    return hits.join(scores, "key", "left").withColumn("rank", F.row_number().over(w)).drop("s")

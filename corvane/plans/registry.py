@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import code, facts, graph, problems, search, store, text
+from corvane.plans import code, facts, graph, more, problems, search, store, text
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (problems, store.P, search.P, graph.P, facts.P, code.P, text.P)
+MODULES = (problems, store.P, search.P, graph.P, facts.P, code.P, text.P, more.P)
 
 
 def queries() -> dict:

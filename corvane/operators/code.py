@@ -127,3 +127,112 @@ def replay_schema(ddl: DataFrame) -> DataFrame:
 
     ordered = ddl.repartition("table_name").sortWithinPartitions("table_name", "seq")
     return ordered.mapInPandas(run, "table_name string, column_name string, type string")
+
+
+ROUTE = r"""(?m)^\s*@\w+\.(get|post|put|patch|delete|route)\(\s*["']([^"']+)["']"""
+CLIENT = r"""(?:\bfetch\(|\baxios\.(?:get|post|put|patch|delete)\(|\$\.(?:get|post|ajax)\()\s*["'`]([^"'`]+)["'`]"""
+PHP_ROUTE = r"""Route::(get|post|put|patch|delete|any)\(\s*["']([^"']+)["']"""
+TRANSLATION = r"""(?:\b(?:gettext|_t|trans|i18n\.t)|\$t)\(\s*["']([^"']+)["']"""
+CLASS = r"(?m)^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\))?\s*:"
+
+
+def _two(blobs: DataFrame, pattern: str, first: str, second: str) -> DataFrame:
+    a, b = (F.regexp_extract_all("content", F.lit(pattern), F.lit(i)) for i in (1, 2))
+    return blobs.select("canonical_path", F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("x")).select(
+        "canonical_path", F.col("x.a").alias(first), F.col("x.b").alias(second))
+
+
+def routes(blobs: DataFrame) -> DataFrame:
+    """(path, method, route) of decorator and facade registrations."""
+    both = _two(blobs, ROUTE, "method", "route").unionByName(_two(blobs, PHP_ROUTE, "method", "route"))
+    return both.withColumn("method", F.lower("method"))
+
+
+def client_endpoints(blobs: DataFrame) -> DataFrame:
+    """(path, url) of literal addresses in client calls."""
+    return blobs.select("canonical_path", F.explode(F.regexp_extract_all("content", F.lit(CLIENT), F.lit(1))).alias("url"))
+
+
+def translation_keys(blobs: DataFrame) -> DataFrame:
+    return blobs.select("canonical_path", F.explode(F.regexp_extract_all("content", F.lit(TRANSLATION), F.lit(1))).alias("key")).groupBy("key").agg(
+        F.count("*").alias("uses"), F.countDistinct("canonical_path").alias("files"))
+
+
+def inheritance(blobs: DataFrame) -> DataFrame:
+    """(path, class_name, base, position): bases of each class in order, a null base if it has none."""
+    c = _two(blobs, CLASS, "class_name", "bases")
+    names = F.filter(F.transform(F.split("bases", ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.contains("="))
+    return c.select("canonical_path", "class_name", F.posexplode_outer(names).alias("position", "base"))
+
+
+def python_facts(blobs: DataFrame) -> DataFrame:
+    """(path, kind, owner, name, line) of a Python source's classes, methods, functions and calls; unparsable sources give none."""
+    import ast
+
+    def walk(tree):
+        def visit(node, owner):
+            for c in ast.iter_child_nodes(node):
+                if isinstance(c, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                    # decorators run where the definition stands, not inside it
+                    yield from visit(ast.List(elts=c.decorator_list), owner)
+                    c.decorator_list = []
+                if isinstance(c, ast.ClassDef):
+                    yield "class", owner, c.name, c.lineno
+                    yield from visit(c, c.name)
+                elif isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    yield ("method" if isinstance(node, ast.ClassDef) else "function"), owner, c.name, c.lineno
+                    yield from visit(c, f"{owner}.{c.name}" if owner else c.name)
+                else:
+                    if isinstance(c, ast.Call):
+                        f = c.func
+                        name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+                        if name:
+                            yield "call", owner, name, c.lineno
+                    yield from visit(c, owner)
+
+        return visit(tree, "")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, content in zip(f["canonical_path"], f["content"]):
+                try:
+                    tree = ast.parse(content)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                rows += [(path, *x) for x in walk(tree)]
+            yield pd.DataFrame(rows, columns=["canonical_path", "kind", "owner", "name", "line"])
+
+    py = blobs.filter(F.col("canonical_path").endswith(".py")).select("canonical_path", "content")
+    return py.mapInPandas(run, "canonical_path string, kind string, owner string, name string, line int")
+
+
+def overrides(facts: DataFrame, bases: DataFrame) -> DataFrame:
+    """(class_name, base, method): methods a class defines that a direct base defines too."""
+    m = facts.filter("kind = 'method'").select(F.col("owner").alias("class_name"), F.col("name").alias("method")).distinct()
+    b = bases.filter("base is not null").select("class_name", "base").distinct()
+    return m.join(b, "class_name").join(m.withColumnRenamed("class_name", "base"), ["base", "method"]).select("class_name", "base", "method")
+
+
+def services(blobs: DataFrame) -> DataFrame:
+    """(path, service, image) of compose files' services."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        for f in frames:
+            rows = []
+            for path, content in zip(f["canonical_path"], f["content"]):
+                inside, name = False, None
+                for line in content.split("\n"):
+                    if re.match(r"\S", line):
+                        inside, name = line.startswith("services:"), None
+                    elif inside and (m := re.match(r"  ([\w.-]+):\s*$", line)):
+                        name = m.group(1)
+                        rows.append([path, name, None])
+                    elif inside and name and (m := re.match(r"    image:\s*['\"]?([^'\"\s]+)", line)):
+                        rows[-1][2] = m.group(1)
+            yield pd.DataFrame(rows, columns=["canonical_path", "service", "image"])
+
+    own = blobs.filter(F.col("canonical_path").rlike(r"(?:docker-)?compose[^/]*\.ya?ml$")).select("canonical_path", "content")
+    return own.mapInPandas(run, "canonical_path string, service string, image string")

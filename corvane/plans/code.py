@@ -178,3 +178,34 @@ def revision_diff(t):
     return j.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
+
+
+@query()
+def python_facts(t):
+    """Classes, functions and calls of the Python sources, by their syntax tree."""
+    return C.python_facts(blobs(t))
+
+
+@query()
+def python_inheritance(t):
+    return C.inheritance(blobs(t))
+
+
+@query()
+def route_registrations(t):
+    return C.routes(blobs(t))
+
+
+@query()
+def client_calls(t):
+    return C.client_endpoints(blobs(t))
+
+
+@query()
+def translation_uses(t):
+    return C.translation_keys(blobs(t))
+
+
+@query()
+def infrastructure_services(t):
+    return C.services(blobs(t))

@@ -17,6 +17,22 @@ query = P.query
 QUERY = PS.QUERY
 
 
+SCOPED = f"ok as (select c.id as key, c.document_id, c.chunk_index, d.title, d.uri, d.updated_at from c join documents d on d.doc_id = c.document_id where {PS.ACTIVE})"
+BOOST = "case when lower(trim(title)) = 'lexical snapshot of the ranking' then 1.35e0 else 1e0 end * case when contains(lower(coalesce(uri,'')), 'lexical') and contains(lower(coalesce(uri,'')), 'snapshot') and contains(lower(coalesce(uri,'')), 'of') and contains(lower(coalesce(uri,'')), 'the') and contains(lower(coalesce(uri,'')), 'ranking') then 1.15e0 else 1e0 end"
+FINISH = """o as (select *, row_number() over (order by score desc, document_id, chunk_index, key) as r from h), cp as (select *, row_number() over (partition by document_id order by r) as n from o)
+select row_number() over (order by r) as rank, key as chunk_id, document_id, round(score, 6) as score from cp where n <= %d order by r limit 10"""
+
+
+@query(f"""with {PS.BM25}, {PS.VEC}, {SCOPED}, lt as (select key, row_number() over (order by score desc, key) as rank from lex semi join ok using (key) qualify rank <= 50),
+vt as (select key, row_number() over (order by score desc, key) as rank from vec semi join ok using (key) qualify rank <= 50),
+f as (select key, sum(1e0 / (60 + rank)) as s from (select * from lt union all select * from vt) group by 1),
+h as (select key, document_id, chunk_index, s * (1 + pow(2e0, -date_diff('day', updated_at::date, date '2026-06-01') / 90e0)) * {BOOST} as score from f join ok using (key)), {FINISH % 1}""")
+def search_hybrid_ranks(t):
+    """The ranks of the hybrid search below, without texts and budget."""
+    c = PS.chunks(t)
+    return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "hybrid", 10, per_document=1, half_life=90.0).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def search_hybrid(t):
     """Lexical and vector legs, fused and finished in the fixed order."""
@@ -24,12 +40,12 @@ def search_hybrid(t):
     return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "hybrid", 10, per_document=1, half_life=90.0, budget=2000, radius=1)
 
 
-@query()
+@query(f"with {PS.BM25}, {SCOPED}, f as (select key, score as s from lex where score >= 0.5), h as (select key, document_id, chunk_index, s * {BOOST} as score from f join ok using (key)), {FINISH % 2}")
 def search_lexical(t):
     return S.search(PS.chunks(t), D.scope(t("documents")), QUERY, mode="lex", top_k=10, per_document=2, least=0.5).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"with {PS.CH}, {PS.VEC}, {SCOPED}, f as (select key, score as s from vec), h as (select key, document_id, chunk_index, s * {BOOST} as score from f join ok using (key)), {FINISH % 3}")
 def search_vector(t):
     c = PS.chunks(t)
     return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "vec", 10).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))

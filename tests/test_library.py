@@ -187,3 +187,35 @@ def test_text_functions():
     assert X.mask_code(m) == "a     c" and X.line_diff("a\nb", "a\nc") == (1, 1)
     v = X.mock_embedding(" x ", 8)
     assert v == X.mock_embedding("x", 8) and abs(sum(a * a for a in v) - 1) < 1e-9
+
+
+def test_code_facts(spark):
+    py = 'class A:\n    def f(self): pass\n\nclass B(A, metaclass=M):\n    def f(self):\n        return g(1)\n\n@app.get("/x/{id}")\ndef h(): pass\n'
+    js = 'fetch("/api/a"); axios.post(`/api/b`); $t("hi"); $t("hi")\n'
+    yml = "services:\n  web:\n    image: nginx:1\n  db:\n    ports: []\nvolumes:\n  v:\n"
+    b = spark.createDataFrame([("/p/a.py", py), ("/p/b.py", "def ("), ("/p/c.js", js), ("/p/compose.yml", yml), ("/p/r.php", "Route::post('/z', 1);")], "canonical_path string, content string")
+    facts = C.python_facts(b)
+    assert {(r.kind, r.owner, r.name) for r in facts.collect()} == {("class", "", "A"), ("method", "A", "f"), ("class", "", "B"), ("method", "B", "f"), ("call", "B.f", "g"), ("call", "", "get"), ("function", "", "h")}
+    bases = C.inheritance(b)
+    assert {(r.class_name, r.base) for r in bases.collect()} == {("A", None), ("B", "A")}
+    assert [tuple(r) for r in C.overrides(facts, bases).collect()] == [("B", "A", "f")]
+    assert {(r.method, r.route) for r in C.routes(b).collect()} == {("get", "/x/{id}"), ("post", "/z")}
+    assert {r.url for r in C.client_endpoints(b).collect()} == {"/api/a", "/api/b"}
+    assert [tuple(r) for r in C.translation_keys(b).collect()] == [("hi", 2, 1)]
+    assert {(r.service, r.image) for r in C.services(b).collect()} == {("web", "nginx:1"), ("db", None)}
+
+
+def test_search_refuses_and_degenerates(spark):
+    from corvane.operators import search as S
+
+    c = spark.createDataFrame([(1, 1, 0, "a cat", [1.0, 0.0]), (2, 1, 1, "a dog", [0.0, 1.0]), (2, 1, 1, "a dog", [0.0, 1.0]), (3, 2, 0, None, None), (4, 3, 0, "", [0.0, 0.0])], "id bigint, document_id bigint, chunk_index bigint, content string, embedding array<float>")
+    d = spark.sql("select cast(id as bigint) doc_id, 'T' title, null uri, timestamp'2026-05-31' updated_at from range(1, 4)").withColumn("uri", F.lit(None).cast("string"))
+    for q, k in (("", 5), ("x" * 5000, 5), ("a", 0), ("a", 101)):
+        with pytest.raises(ValueError):
+            S.search(c, d, q, mode="lex", top_k=k)
+    with pytest.raises(ValueError):
+        S.search(c, d, "a", mode="vec")
+    got = S.search(c, d, "cat", [1.0, 0.0], "hybrid", 5).collect()
+    assert [r.chunk_id for r in got][0] == 1 and len({r.chunk_id for r in got}) == len(got)
+    assert S.search(c, d, "nothing", mode="lex").count() == 0
+    assert S.search(c.limit(0), d, "cat", mode="lex").count() == 0

@@ -89,8 +89,9 @@ def mask_code(text: str) -> str:
 
 def line_diff(a: str, b: str) -> tuple[int, int]:
     """(lines added, lines removed) from a to b."""
-    x = [d[0] for d in difflib.ndiff(a.split("\n"), b.split("\n"))]
-    return x.count("+"), x.count("-")
+    m = difflib.SequenceMatcher(None, a.split("\n"), b.split("\n"), autojunk=False).get_opcodes()
+    changed = [x for x in m if x[0] != "equal"]
+    return sum(j2 - j1 for _, _, _, j1, j2 in changed), sum(i2 - i1 for _, i1, i2, _, _ in changed)
 
 
 _FNV, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1

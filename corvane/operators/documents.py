@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import checkpointed
+
 HIDDEN = ("archived", "tombstone")
 
 
@@ -100,10 +102,26 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pairs).alias("p")).groupBy("p.bucket", "p.value").agg(F.count("*").alias("n"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The sample at index round((n - 1) * q) of the sorted values, no interpolation."""
-    s = F.sort_array(values)
-    return F.element_at(s, F.floor((F.size(s) - 1) * F.lit(q) + F.lit(0.5)).cast("int") + 1)
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """Running sums over a total order without gathering the rows in one task.
+
+    Rows are range-partitioned by ``order``; a window runs inside each part, and what earlier parts add up to comes
+    from one row per part.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = checkpointed(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    own = own.withColumns({f"_s_{k}": v for k, v in sums.items()})
+    totals = own.groupBy("_p").agg(*[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
+    w = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per part
+    before = totals.select("_p", *[F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inner = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = own.join(F.broadcast(before), "_p").withColumns({k: F.sum(f"_s_{k}").over(inner) + F.col(f"_b_{k}") for k in sums})
+    return out.drop("_p", *[f"{x}_{k}" for k in sums for x in ("_s", "_b")])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Rows numbered from 1 in a total order, in parallel."""
+    return running(df, order, {name: F.lit(1).cast("long")})
 
 
 def content_key(c: str = "text") -> Column:

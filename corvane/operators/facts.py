@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.documents import numbered, running
 from corvane.operators.intervals import bound_micros
 
 OPEN = -(2**62)
@@ -25,7 +26,7 @@ def as_of(facts: DataFrame, at: int) -> DataFrame:
 def timeline(facts: DataFrame, subject: str) -> DataFrame:
     """One subject's facts in order of validity, those without start first."""
     own = bounds(facts.filter(F.col("subject") == subject))
-    return own.withColumn("position", F.row_number().over(W.orderBy(F.col("f").asc_nulls_first(), "created_at", "id")))
+    return numbered(own, [F.col("f").asc_nulls_first(), F.col("created_at"), F.col("id")])
 
 
 def superseded(facts: DataFrame) -> DataFrame:
@@ -70,8 +71,8 @@ def calibration(samples: DataFrame, digits: int | None = 6) -> DataFrame:
     """
     s = samples.filter("score is not null").groupBy("score").agg(F.count("*").alias("n"), F.count_if("relevant").alias("pos"))
     total = s.agg(F.sum("pos").alias("p"))
-    w = W.orderBy(F.desc("score"))
-    c = s.select(F.col("score").alias("threshold"), F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp")).join(F.broadcast(total))  # one row
+    c = running(s, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")})
+    c = c.select(F.col("score").alias("threshold"), "tp", "fp").join(F.broadcast(total))  # one row
     m = F.col("tp") + F.col("fp")
     c = c.withColumn("prec", F.col("tp") / m).withColumn("rec", F.col("tp") / F.col("p"))
     p = F.col("prec")

@@ -79,7 +79,7 @@ def task_stats(t):
 def percentile_nearest_rank(t):
     v = t("events").filter("value is not null").groupBy("value").agg(F.count("*").alias("c"))
     # distinct values with their counts; one running sum gives every rank
-    r = v.withColumn("hi", F.sum("c").over(W.orderBy("value"))).join(F.broadcast(v.agg(F.sum("c").alias("n"))))
+    r = D.running(v, [F.col("value")], {"hi": F.col("c")}).join(F.broadcast(v.agg(F.sum("c").alias("n"))))
     at = F.floor((F.col("n") - 1) * F.lit(0.9) + F.lit(0.5))
     return r.filter((at < F.col("hi")) & (at >= F.col("hi") - F.col("c"))).select(F.col("value").alias("p90"))
 

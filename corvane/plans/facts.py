@@ -187,10 +187,11 @@ def wiki_index_rebuild(t):
     return t("documents").filter("layer = 'wiki'").select("doc_id", "title", F.coalesce(F.nullif(prose, F.lit("")), "title").alias("summary"))
 
 
-@query("select kind, string_agg('- ' || title, chr(10) order by title, doc_id) as catalog from documents where layer = 'wiki' and title is not null group by 1")
+@query("select kind, row_number() over (order by kind, title, doc_id) as line, '- ' || title as entry from documents where layer = 'wiki' and title is not null")
 def wiki_index_render(t):
-    w = t("documents").filter("layer = 'wiki' and title is not null")
-    return w.groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("title", "doc_id"))), lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("catalog"))
+    """The catalog line by line, grouped by kind: as rows, since a catalog has no bound."""
+    w = t("documents").filter("layer = 'wiki' and title is not null").select("kind", "title", "doc_id")
+    return D.numbered(w, [F.col("kind"), F.col("title"), F.col("doc_id")], "line").select("kind", "line", F.concat(F.lit("- "), "title").alias("entry"))
 
 
 # evaluation: a source is a query, its documents by length are the ranked list, papers are relevant

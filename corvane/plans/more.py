@@ -94,7 +94,7 @@ def overview_grid(t):
     """A grid of the link targets and tags in label order."""
     n = PG.net(t).select(F.col("dst").alias("node")).distinct()
     w = n.agg(F.ceil(F.sqrt(F.count("*").cast("double"))).alias("w"))
-    i = n.withColumn("i", F.row_number().over(W.orderBy("node")) - 1).join(F.broadcast(w))
+    i = D.numbered(n, [F.col("node")], "i").withColumn("i", F.col("i") - 1).join(F.broadcast(w))
     return i.select("node", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).alias("y"))
 
 
@@ -236,7 +236,7 @@ def accept_changes(t):
     known = e.filter("event_type = 'click'").select("event_id")
     origin = e.agg(F.min("user_id").alias("user_id"))
     new = e.select("event_id", "user_id").join(F.broadcast(origin), "user_id", "left_semi").join(known, "event_id", "left_anti")
-    return new.select("event_id", "user_id", (F.row_number().over(W.orderBy("event_id")) + 500).alias("primary_seq"))
+    return D.numbered(new, [F.col("event_id")], "n").select("event_id", "user_id", (F.col("n") + 500).alias("primary_seq"))
 
 
 @query("""with p as (select id, xxh from (select id, md5(content) as xxh from (select distinct id, content from chunks))), n as (select id, md5(content || case when id % 10 = 0 then '!' else '' end) as xxh from (select distinct id, content from chunks))

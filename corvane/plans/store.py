@@ -230,17 +230,16 @@ def compiled_ids(t):
     return t("documents").select("doc_id").join(cited, "doc_id", "left_semi")
 
 
-@query("""select distinct w.doc_id as wiki_id, r.doc_id as raw_id from kg_facts f join documents w on w.doc_id = f.source_document_id and w.layer = 'wiki'
- join kg_facts g on g.subject = f.subject join documents r on r.doc_id = g.source_document_id and r.layer = 'raw' where w.updated_at < r.updated_at""")
+@query("""with s as (select distinct subject, source_document_id as doc_id from kg_facts where subject is not null), r as (select subject, max(updated_at) as newest from s join documents using (doc_id) where layer = 'raw' group by 1)
+select doc_id as wiki_id, count(*) as subjects, epoch_us(max(newest)) as newest_us from s join documents using (doc_id) join r using (subject) where layer = 'wiki' and updated_at < newest group by 1""")
 def stale_wiki(t):
+    """Wiki pages older than a raw document of one of their subjects; a subject's raw documents count by their newest."""
     f = t("kg_facts").filter("source_document_id is not null and subject is not null").select("subject", F.col("source_document_id").alias("doc_id")).distinct()
     d = t("documents").select("doc_id", "layer", "updated_at").filter(F.col("layer").isin("wiki", "raw"))
     s = f.join(d, "doc_id")
-    # of a subject's raw documents only those newer than its oldest wiki page can make one stale
-    wiki = s.filter("layer = 'wiki'").select("subject", F.col("doc_id").alias("wiki_id"), F.col("updated_at").alias("w"))
-    oldest = wiki.groupBy("subject").agg(F.min("w").alias("o"))
-    raw = s.filter("layer = 'raw'").join(oldest, "subject").filter("updated_at > o").select("subject", F.col("doc_id").alias("raw_id"), F.col("updated_at").alias("r"))
-    return wiki.join(raw, "subject").filter("w < r").select("wiki_id", "raw_id").distinct()
+    raw = s.filter("layer = 'raw'").groupBy("subject").agg(F.max("updated_at").alias("newest"))
+    hit = s.filter("layer = 'wiki'").join(raw, "subject").filter("updated_at < newest")
+    return hit.groupBy(F.col("doc_id").alias("wiki_id")).agg(F.count("*").alias("subjects"), F.unix_micros(F.max("newest")).alias("newest_us"))
 
 
 @query("select source, count(*) as n from documents group by 1")

@@ -11,7 +11,7 @@
    the shuffle as 16-bit codes.
 4. The best candidates are compared again in double precision.
 
-Rounds stop when few neighbours change. Blocks, meeting lists and cells have
+Rounds stop when few neighbours change. Blocks, meetings and cells have
 fixed bounds; a cell beyond its bound is divided at random, which the rounds
 make up for.
 """
@@ -229,21 +229,23 @@ def descend(graph: DataFrame, codes: DataFrame, k: int, dims: int, reverse: int,
         keep = F.size(F.filter("sims", lambda x: x >= floor))
         graph = graph.filter(F.get("sims", F.lit(0)) >= floor).select("id", F.slice("ids", 1, keep).alias("ids"), F.slice("sims", 1, keep).alias("sims"))
         bar = bar.select("id", F.greatest("bar", F.lit(floor).cast("float")).alias("bar"))
-    # of the many that may point at a popular vector, the meeting takes the ``reverse`` nearest; ranks are cut before the shuffle
-    pointed = graph.select("id", F.explode(F.arrays_zip("ids", "sims")).alias("e")).select(
-        F.col("e.ids").alias("at"), F.col("id").alias("guest"), F.col("e.sims").alias("s"))
-    back = pointed.withColumn("r", F.row_number().over(W.partitionBy("at").orderBy(F.desc("s"), "guest"))).filter(F.col("r") <= reverse)
-    # guest visits every node it points at, and every node that points at it
-    visits = graph.select("id", F.explode("ids").alias("host")).unionByName(back.select(F.col("guest").alias("host"), F.col("at").alias("id")))
-    hosts = visits.groupBy("id").agg(F.collect_set("host").alias("hosts"))
-    sent = hosts.join(bar, "id").join(codes, "id").select("id", "bar", "code", F.explode("hosts").alias("host"))
-    met = sent.groupBy("host").agg(F.collect_list(F.struct("id", "bar", "code")).alias("g")).select(
+    # all that point at a vector meet all it points at; those who point at a popular one come in parts of about
+    # ``reverse``, each of which meets the whole list of the popular one, so that no meeting grows and nobody is left out
+    pointed = graph.select("id", F.explode("ids").alias("at"))
+    parts = pointed.groupBy("at").agg(F.ceil(F.count("*") / reverse).alias("parts"))
+    lists = graph.join(parts.withColumnRenamed("at", "id"), "id", "left").select("id", "ids", F.coalesce("parts", F.lit(1)).alias("parts"))
+    ahead = lists.select(F.col("id").alias("host"), "ids", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        F.explode("ids").alias("id"), "host", "part")
+    behind = pointed.join(parts, "at").select("id", F.col("at").alias("host"), F.pmod(F.xxhash64("id", "at"), F.col("parts")).alias("part"))
+    visits = ahead.unionByName(behind).distinct()
+    sent = visits.join(bar.join(codes, "id"), "id")
+    met = sent.groupBy("host", "part").agg(F.collect_list(F.struct("id", "bar", "code")).alias("g")).select(
         F.col("g.id").alias("ids"), F.col("g.bar").alias("bars"), F.col("g.code").alias("codes"))
     return met.mapInPandas(partial(_meet, k=k, dims=dims), GRAPH)
 
 
 def knn_graph(
-    vectors: DataFrame, dims: int, degree: int = 10, trees: int = 3, leaf: int = 160, rounds: int = 2, reverse: int = 8,
+    vectors: DataFrame, dims: int, degree: int = 10, trees: int = 3, leaf: int = 160, rounds: int = 2, reverse: int = 24,
     sample_rows: int = 20_000, cell_rows: int = 4_000, seed: int = 7, floor: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(graph, codes): (id, ids, sims) with the ``degree`` nearest found for every id of (id, raw), and (id, code).
@@ -353,7 +355,7 @@ def _enter(frames: Iterator[pd.DataFrame], ids: np.ndarray, x: np.ndarray, beam:
 
 
 def greedy_search(
-    graph: DataFrame, codes: DataFrame, queries: DataFrame, dims: int, k: int = 5, beam: int = 24, expand: int = 6, hops: int = 8, entries: int = 512,
+    graph: DataFrame, codes: DataFrame, queries: DataFrame, dims: int, k: int = 5, beam: int = 32, expand: int = 8, hops: int = 8, entries: int = 4_096,
     reverse: int = 12,
 ) -> DataFrame:
     """(q, id, s): for every query (q, qcode) the k nearest found by walking the graph.

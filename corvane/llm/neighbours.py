@@ -144,8 +144,11 @@ def _leaves(x: np.ndarray, own: np.ndarray, size: int, rng) -> Iterator[np.ndarr
         stack += [own[order[:at]], own[order[at:]]]
 
 
-def _block_knn(frames: Iterator[pd.DataFrame], k: int, leaf: int, dims: int, most: int) -> Iterator[pd.DataFrame]:
-    """Nearest neighbours inside each cell, rows arriving sorted by cell; a cell beyond ``most`` rows is taken in parts."""
+def _block_knn(frames: Iterator[pd.DataFrame], k: int, leaf: int, dims: int, most: int, floor: float | None = None) -> Iterator[pd.DataFrame]:
+    """Nearest neighbours inside each cell, rows arriving sorted by cell; a cell beyond ``most`` rows is taken in parts.
+
+    Links below the ``floor`` are never walked, so they aren't sent either.
+    """
 
     def solve(cell: int, ids: np.ndarray, codes: list[bytes]) -> Iterator[pd.DataFrame]:
         x, rng = _unpack(codes, dims), np.random.default_rng(cell)
@@ -157,10 +160,18 @@ def _block_knn(frames: Iterator[pd.DataFrame], k: int, leaf: int, dims: int, mos
             np.fill_diagonal(s, -9)
             m = min(k, len(own) - 1)
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            out_ids.append(ids[own])
-            out_n.extend(ids[own][top])
-            out_s.extend(np.take_along_axis(s, top, 1))
-        if out_ids:  # a vector alone in its cell has nobody to compare with there
+            near, sims = ids[own][top], np.take_along_axis(s, top, 1)
+            if floor is None:
+                out_ids.append(ids[own])
+                out_n.extend(near)
+                out_s.extend(sims)
+                continue
+            keep = sims >= floor
+            rows = np.flatnonzero(keep.any(1))
+            out_ids.append(ids[own][rows])
+            out_n.extend(near[r][keep[r]] for r in rows)
+            out_s.extend(sims[r][keep[r]] for r in rows)
+        if out_n:  # a vector alone in its cell has nobody to compare with there
             yield pd.DataFrame({"id": np.concatenate(out_ids), "ids": out_n, "sims": out_s})
 
     cell, ids, codes = None, [], []
@@ -267,7 +278,7 @@ def knn_graph(
     # a cell that many vectors share is spread over tasks by salt
     salted = routed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (2**depth * cell_rows * 4)))))
     blocks = salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").select("cell", "id", "code")
-    graph = written(_merge(blocks.mapInPandas(partial(_block_knn, k=degree, leaf=leaf, dims=dims, most=4 * cell_rows), GRAPH), degree), "graph")
+    graph = written(_merge(blocks.mapInPandas(partial(_block_knn, k=degree, leaf=leaf, dims=dims, most=4 * cell_rows, floor=floor), GRAPH), degree), "graph")
     for _ in range(rounds):
         found = descend(graph, codes, degree, dims, reverse, floor)
         graph = written(_merge(graph.unionByName(found), degree), "graph")

@@ -122,7 +122,7 @@ def line_diffs(t):
     return j.select("doc_id", "next_id", diff("a", "b").alias("x")).select("doc_id", "next_id", "x.added", "x.removed")
 
 
-@query(f"""with recursive {PG.NET}, r(node, depth) as (select 'w:resolver', 0 union select u.dst, r.depth + 1 from r join u on u.src = r.node where r.depth < 2), m as (select node, min(depth) as depth from r group by 1),
+@query(f"""with recursive {PG.NET}, r(node, depth) as (select distinct dst, 0 from e where dst = 'w:resolver' union select u.dst, r.depth + 1 from r join u on u.src = r.node where r.depth < 2), m as (select node, min(depth) as depth from r group by 1),
 p as (select node, depth, 2 * {math.pi} * (row_number() over (partition by depth order by node) - 1) / count(*) over (partition by depth) as a from m) select node, depth, round(depth * cos(a), 6) as x, round(depth * sin(a), 6) as y from p""")
 def radial_layout(t):
     """Rings of equal angles around a node."""

@@ -114,13 +114,13 @@ def incident_nodes(t):
     return n.select(F.col("src").alias("node")).union(n.select("dst")).distinct()
 
 
-@query(f"with recursive {NET}, r(node, depth) as (select 'w:resolver', 0 union select u.dst, r.depth + 1 from r join u on u.src = r.node where r.depth < 3) select node, min(depth) as depth from r group by 1")
+@query(f"with recursive {NET}, r(node, depth) as (select distinct dst, 0 from e where dst = 'w:resolver' union select u.dst, r.depth + 1 from r join u on u.src = r.node where r.depth < 3) select node, min(depth) as depth from r group by 1")
 def graph_neighbours(t):
     n = net(t)
     return G.reach(G.undirected(n), n.filter("dst = 'w:resolver'").select(F.col("dst").alias("node")), 3)
 
 
-@query(f"""with {NET}, d1 as (select distinct dst as node from u where src = 'w:resolver' order by node limit 19), s1 as (select 'w:resolver' as node, 0 as depth union all select node, 1 from d1),
+@query(f"""with {NET}, d1 as (select distinct dst as node from u where src = 'w:resolver' order by node limit 19), s1 as (select distinct dst as node, 0 as depth from e where dst = 'w:resolver' union all select node, 1 from d1),
 d2 as (select distinct dst as node from u where src in (select node from d1) and dst not in (select node from s1))
 select node, depth from s1 union all select node, 2 from (select node from d2 order by node limit greatest(0, 20 - (select count(*) from s1)))""")
 def graph_neighbours_capped(t):

@@ -29,9 +29,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: marks that may end a unit, by script
-ENDERS = ".!?…。！？।؟۔"
-STRONG = "!?。！？।؟۔"
+# fixed values: marks that may end a unit, by script; beyond ASCII those with Unicode's property Sentence_Terminal, as code points
+TERMINAL = (
+    "589 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 104A-104B 1362 1367-1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB "
+    "1B4E-1B4F 1B5A-1B5B 1B5E-1B5F 1B7D-1B7F 1C3B-1C3C 1C7E-1C7F 2024 203C-203D 2047-2049 2CF9-2CFB 2E2E 2E3C 2E53-2E54 2E60-2E61 3002 A4FF "
+    "A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE12 FE15-FE16 FE52 FE56-FE57 FF01 FF0E FF1F FF61 "
+    "10A56-10A57 10F55-10F59 10F86-10F89 11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C 112A9 "
+    "113D4-113D5 1144B-1144C 115C2-115C3 115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42 11EF7-11EF8 "
+    "11F43-11F44 16A6E-16A6F 16AF5 16B37-16B38 16B44 16D6E-16D6F 16E98 1BC9F 1DA88"
+)
+DOTS = ".․﹒．"  # may stand inside names and numbers
+STRONG = "!?" + "".join(chr(i) for r in TERMINAL.split() for i in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1) if chr(i) not in DOTS)
+ENDERS = STRONG + DOTS + "…"
+ASKING = "!?‼‽⁇⁈⁉﹖﹗"
 PAIRS = {"(": ")", "（": "）", "[": "]", "«": "»", "「": "」", "『": "』", "“": "”", "„": "“", "【": "】", "《": "》"}
 QUOTES = set("«「『“„\"")
 CLOSERS = set(PAIRS.values()) | {'"', "’", "'"}
@@ -39,7 +49,9 @@ MARKS = re.compile('["“”' + re.escape("".join(set(PAIRS) | set(PAIRS.values(
 DIGIT = re.compile(r"\d")
 INNER_CJK = re.compile(r"[、，](\w{1,2})")
 AFTER = set(ENDERS) | set(PAIRS.values()) | {'"'}
-END_RUN = re.compile(rf"[{ENDERS}]+")
+ANY_RUN = re.compile(rf"[{ENDERS}]+")
+END_RUN = re.compile(f"[{''.join(c for c in ENDERS if c <= chr(0xFFFF))}]+")  # several times as fast
+BEYOND = re.compile(f"[{min(c for c in ENDERS if c > chr(0xFFFF))}-{max(ENDERS)}]")
 LIST_LINE = re.compile(r"\s*(?:[-*+•·–—‣◦]|\(?\d{1,3}[.)]|[a-z][.)])[ \t]+\S")
 WORD = re.compile(r"[^\W_]+(?:['’_.-][^\W_]+)*", re.U)
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[ \t 　]+(?=[ก-ฺเ-๎])")
@@ -211,13 +223,15 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
     out: list[Place] = []
     last = None
     done = a
-    for m in END_RUN.finditer(text, a, b):
+    for m in (ANY_RUN if BEYOND.search(text, a, b) else END_RUN).finditer(text, a, b):
         s, e = m.span()
         if s < done:
             continue
         run = m.group(0)
         if run == "." and e < b and ("a" <= (c := text[e]) <= "z" or "0" <= c <= "9"):
             continue  # inside a name or a number
+        if run != "." and run in DOTS and e < b and SCRIPT[text[e]] in ("lower", "digit"):
+            continue  # the same in other widths
         opened, left = -1, None
         while True:
             k = bisect_right(starts, e - 1) - 1
@@ -252,7 +266,7 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
             continue
         gap = nxt > e
         right = right_token(text, nxt, b)
-        if not gap and opened < 0 and m.group(0)[-1] in ".…":
+        if not gap and opened < 0 and m.group(0)[-1] in DOTS + "…":
             # inside a name or number unless a capital or a letter of a caseless script follows a word
             caseless = right[1] in ("cjk", "thai", "plain")
             before = text[s - 1] if s > a else " "
@@ -263,7 +277,7 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
                     continue
             if left[1] == "letter.":
                 continue
-        elif not gap and opened < 0 and m.group(0)[-1] in "!?" and right[1] in ("lower", "digit", "ident"):
+        elif not gap and opened < 0 and m.group(0)[-1] in ASKING and right[1] in ("lower", "digit", "ident"):
             continue
         out.append(Place(e, nxt, left, right, opened, gap))
     for m in THAI_GAP.finditer(text, a, b) if THAI.search(text, a, b) else ():

@@ -304,6 +304,13 @@ def test_forward_backward_agrees_with_enumeration():
     assert sentences.posteriors(odds, close) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("यह तंत्र हर योजक को गिनता है॥ देर का संस्करण कल आएगा॥", 2), ("छोटा वाक्य यहाँ है। दूसरा वाक्य यहाँ है॥", 2), ("次の文です｡終わりの文です｡", 2),
+    ("価格は３．１４です．次の文です．", 2), ("Անունը Արամ է։ Նա ուսանող է։", 2), ("သူ လာသည်။ သူ သွားသည်။", 2), ("𑄌𑄋𑄴𑄟 𑄃𑄬𑄇𑅁 𑄌𑄋𑄴𑄟 𑄃𑄬𑄇𑅁", 2)])
+def test_full_stops_of_other_scripts(text, want):
+    assert len(sentences.units(text, False, sentences.Model([]))) == want
+
+
 def test_sentence_edges(spark):
     rows = [(1, None, "note"), (2, "", None), (3, "A b. C d.", None), (3, "A b. C d.", None), (4, "x " * 40_000 + ".", "note")]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id bigint, text string, kind string, start_char int, key string")

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import written
+
 # fixed values: marks that may end a unit, by script; beyond ASCII those with Unicode's property Sentence_Terminal, as code points
 TERMINAL = (
     "589 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 104A-104B 1362 1367-1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB "
@@ -373,7 +375,8 @@ class Model:
         for what, token, kind, n in rows:
             if token:
                 self.by[what][token] += n
-            self.of[what][kind] += n
+            if kind:
+                self.of[what][kind] += n
         self.total = {w: sum(c.values()) + 1.0 for w, c in self.of.items()}
         self.seen: dict = {}
         # share of all boundaries that end a paragraph, from the marks that always end a unit
@@ -490,33 +493,70 @@ def _split(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFram
     for f in frames:
         for s in range(0, len(f), 500):
             own = f.iloc[s:s + 500]
-            rows = [(key, a, b) for key, text, kind in zip(own["key"], own["text"], own["kind"]) for a, b in units(text, kind == "code", model)]
+            rows = []
+            for key, text, kind, rare in zip(own["key"], own["text"], own["kind"], own["rare"]):
+                rare = () if rare is None else [(r["token"], [(w, r[w]) for w in COUNTS if r[w]]) for r in rare]
+                for token, counts in rare:
+                    for what, n in counts:
+                        model.by[what][token] = n
+                rows += [(key, a, b) for a, b in units(text, kind == "code", model)]
+                for token, counts in rare:
+                    for what, _ in counts:
+                        del model.by[what][token]
             yield pd.DataFrame(rows, columns=["key", "start_char", "end_char"])
 
 
-def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> Model:
-    """Counts the n-grams of all texts. Of each count the ``vocabulary`` most frequent tokens are kept by name; the rest count by class."""
-    counts = (
+def _unnamed(frames: Iterator[pd.DataFrame], named: dict[str, set[str]]) -> Iterator[pd.DataFrame]:
+    """(digest, side, token) of the tokens around each text's places that the model doesn't hold by name."""
+    for f in frames:
+        rows = set()
+        for digest, text, kind in zip(f["digest"], f["text"], f["kind"]):
+            for a, b, whole in blocks(text, kind == "code"):
+                t = None if whole else trim(text, a, b)
+                for p in places(text, *t)[0] if t else ():
+                    rows |= {(digest, side, token) for side, (token, _) in (("l", p.left), ("r", p.right)) if token not in named[side]}
+        yield pd.DataFrame(list(rows), columns=["digest", "side", "token"])
+
+
+def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[Model, DataFrame | None]:
+    """Counts the n-grams of all texts: (model, rare).
+
+    Only tokens at places are ever looked up. The ``vocabulary`` most frequent of each side are in the model by name, with
+    whole counts; if there are more, ``rare`` has the counts of the others (side, token, and a column for each count).
+    """
+    counts = written(
         df.select(F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind")).filter(F.length("text") > 0)
         .mapInPandas(_count, "what string, token string, kind string, n bigint")
-        .groupBy("what", "token", "kind").agg(F.sum("n").alias("n")).persist()
-    )
-    rows = []
-    for what in COUNTS:
-        own = counts.filter(F.col("what") == what)
-        rows += [(what, r.token, r.kind, r.n) for r in own.orderBy(F.desc("n"), "token").limit(vocabulary).collect()]
-        named = Counter()
-        for w, _, k, n in rows:
-            if w == what:
-                named[k] += n
-        for r in own.groupBy("kind").agg(F.sum("n").alias("n")).collect():
-            rows.append((what, "", r.kind, r.n - named[r.kind]))
-    counts.unpersist()
-    return Model(rows)
+        .groupBy("what", "token", "kind").agg(F.sum("n").alias("n")), "counts")
+    rows = [(r.what, "", r.kind, r.n) for r in counts.groupBy("what", "kind").agg(F.sum("n").alias("n")).collect()]
+    side = F.when(F.col("what").isin("end", "inner"), "l").otherwise("r").alias("side")
+    tokens = counts.groupBy(side, "token").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in COUNTS])
+    tokens = written(tokens.withColumn("n", F.when(F.col("side") == "l", F.col("inner")).otherwise(F.col("right"))).filter("n > 0"), "tokens")
+    named, more = {}, False
+    for s in "lr":
+        top = tokens.filter(F.col("side") == s).orderBy(F.desc("n"), "token").limit(vocabulary + 1).collect()
+        more |= len(top) > vocabulary
+        named[s] = {r.token for r in top[:vocabulary]}
+        rows += [(w, r.token, "", r[w]) for r in top[:vocabulary] for w in COUNTS if r[w]]
+    model = Model(rows)
+    if not more:
+        return model, None
+    spark = df.sparkSession
+    held = written(spark.createDataFrame([(s, w) for s in "lr" for w in named[s]], "side string, token string"), "named")
+    return model, tokens.join(held, ["side", "token"], "left_anti").select("side", "token", *COUNTS)
 
 
 def sentence_units(df: DataFrame, key: str, text: str, kind: str, vocabulary: int = 40_000) -> DataFrame:
     """(key, start_char, end_char) of every unit of every text; ``kind`` is ``code`` for texts read by line."""
-    model = fit(df, text, kind, vocabulary)
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind"))
-    return rows.filter(F.length("text") > 0).mapInPandas(partial(_split, model=model), "key bigint, start_char bigint, end_char bigint")
+    model, rare = fit(df, text, kind, vocabulary)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind")).filter(F.length("text") > 0)
+    if rare is None:
+        rows = rows.withColumn("rare", F.lit(None).cast("string"))
+    else:
+        # the counts of a text's rare tokens come to it by a join; equal texts have the same ones
+        named = {"l": set(model.by["inner"]), "r": set(model.by["right"])}
+        rows = rows.withColumn("digest", F.sha2("text", 256))
+        found = rows.select("digest", "text", "kind").mapInPandas(partial(_unnamed, named=named), "digest string, side string, token string").distinct()
+        own = found.join(rare, ["side", "token"]).groupBy("digest").agg(F.collect_list(F.struct("token", *COUNTS)).alias("rare"))
+        rows = rows.join(own, "digest", "left").select("key", "text", "kind", "rare")
+    return rows.mapInPandas(partial(_split, model=model), "key bigint, start_char bigint, end_char bigint")

@@ -319,3 +319,14 @@ def test_sentence_edges(spark):
     assert sentences.sentence_units(df.limit(0), "doc_id", "text", "kind").count() == 0
 
 
+def test_rare_words_count_by_name(spark):
+    names = [a + b + c for a in ("Ba", "Do", "Ku", "Me", "Ri") for b in ("la", "no", "ti", "ve") for c in ("k", "m", "r", "s")]
+    texts = [f"See {w} and vol. {w} here with {w} near no. {v} now. {v} came by. Then {w} left etc. {v} stayed."
+             for i, w in enumerate(names) for v in names[i % 7::9]]
+    df = spark.createDataFrame([(i, x, "note") for i, x in enumerate(texts + texts[:5])], "id bigint, text string, kind string")
+    whole = sorted(map(tuple, sentences.sentence_units(df, "id", "text", "kind").collect()))
+    assert sorted(map(tuple, sentences.sentence_units(df, "id", "text", "kind", vocabulary=3).collect())) == whole
+    model, rare = sentences.fit(df, "text", "kind")
+    part, rest = sentences.fit(df, "text", "kind", vocabulary=3)
+    assert rare is None and part.of == model.of
+    assert {r.token: r.mid for r in rest.filter("side = 'r'").collect()} == {w: model.by["mid"][w] for w in model.by["right"] if w not in part.by["right"]}

@@ -196,6 +196,13 @@ def dependency_order(t):
     return G.topological(p)
 
 
+@query()
+def dependency_order_whole(t):
+    """The same levels over every part; ``dependency_order`` and its SQL keep parts 3 to 3000."""
+    p = t("part").filter("p_partkey >= 3").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).cast("long").alias("dst"))
+    return G.topological(p)
+
+
 @query("""select doc_id, 'wing' as rel, trim(wing) as parent from documents where trim(coalesce(wing,'')) <> ''
 union all select doc_id, 'room', trim(wing) || '/' || trim(room) from documents where trim(coalesce(wing,'')) <> '' and trim(coalesce(room,'')) <> ''""")
 def structural_edges(t):

@@ -9,6 +9,7 @@ import pytest
 from corvane.functions import text as X
 from corvane.operators import code as C
 from corvane.operators import graph as G
+from corvane.plans import registry
 from corvane.sources import files
 from corvane.sources.versioned import Conflict, VersionedTable
 from corvane.streaming import changes
@@ -55,6 +56,14 @@ def test_cycles_have_no_order(spark):
     assert got == {3: 0, 2: 1, 1: 2, 4: None, 5: None}
 
 
+def test_order_covers_every_part(spark, tmp_path):
+    spark.range(1, 3101).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    want = {1: 0, 2: 0}
+    for k in range(3, 3101):
+        want[k] = want[k // 3] + 1
+    assert dict(tuple(x) for x in registry.queries()["dependency_order_whole"](spark, str(tmp_path)).collect()) == want
+
+
 def test_reach_caps_nodes_in_order(spark):
     e = edges(spark, [(0, x) for x in (5, 3, 9)] + [(3, 4)])
     seed = spark.createDataFrame([(0,)], "node bigint")

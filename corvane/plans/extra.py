@@ -164,7 +164,7 @@ def heuristic_plan(t):
 
 @query()
 def compress_pairs(t):
-    """Near-duplicate pairs of the bounded report, best first, each vector in one pair at most."""
+    """Pairs of the report over all documents, best first, each document in one pair at most."""
 
     def choose(frames):
         f = pd.concat(list(frames)).sort_values(["sim", "a", "b"], ascending=[False, True, True])
@@ -175,7 +175,7 @@ def compress_pairs(t):
                 out.append((r.a, r.b, r.sim))
         yield pd.DataFrame(out, columns=["a", "b", "sim"])
 
-    return PS.near_duplicate_report(t).coalesce(1).mapInPandas(choose, "a bigint, b bigint, sim double")
+    return PS.near_duplicate_documents(t).coalesce(1).mapInPandas(choose, "a bigint, b bigint, sim double")
 
 
 @query("select max(event_id) as journal_end, least(max(event_id), 5000) as cursor, max(event_id) - least(max(event_id), 5000) as gap, max(event_id) - least(max(event_id), 5000) > 1000 as stale from events")

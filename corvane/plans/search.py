@@ -262,4 +262,51 @@ def near_duplicate_report(t):
     return found.orderBy(F.desc("sim"), "a", "b").limit(100).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+def closest_pairs(vectors, most: int, floor: float, size: int = 16_000):
+    """(a, b, sim): the ``most`` closest pairs of all (id, embedding) from ``floor`` on, compared in pairs of blocks of about ``size``.
+
+    Cosines count to 9 decimals, so that equal vectors tie and go by id. Each pair of blocks gives its own best pairs only.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def best(key, f):
+        blocks = []
+        for n in sorted(set(key)):
+            own = f[f["block"] == n].sort_values("id")
+            x = np.stack(own["embedding"].to_numpy()).astype(np.float64) if len(own) else np.zeros((0, 1))
+            blocks.append((own["id"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)))
+        (ids, x), (others, y) = blocks[0], blocks[-1]
+        a, b, sim, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), floor
+        for at in range(0, len(x), 256) if len(y) else ():
+            s = x[at:at + 256] @ y.T
+            if len(blocks) == 1:
+                s[np.arange(len(y))[None, :] <= np.arange(at, at + len(s))[:, None]] = -2.0
+            i, j = np.nonzero(s >= least - 1e-9)
+            r = np.round(s[i, j], 9)
+            cut = max(least, np.partition(r, len(r) - most)[len(r) - most] if len(r) > most else least)
+            i, j, r = i[r >= cut], j[r >= cut], r[r >= cut]
+            a, b, sim = np.r_[a, np.minimum(ids[at + i], others[j])], np.r_[b, np.maximum(ids[at + i], others[j])], np.r_[sim, r]
+            keep = np.lexsort((b, a, -sim))[:most]
+            a, b, sim = a[keep], b[keep], sim[keep]
+            if len(sim) == most:
+                least = sim[-1]
+        return pd.DataFrame({"a": a, "b": b, "sim": sim})
+
+    n = max(1, -(-vectors.count() // size))
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    sent = vectors.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = sent.select("id", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = pairs.groupBy("i", "j").applyInPandas(best, "a bigint, b bigint, sim double")
+    return found.orderBy(F.desc("sim"), "a", "b").limit(most)
+
+
+@query()
+def near_duplicate_documents(t):
+    """Closest 100 pairs of all documents by the vector of each one's first chunk that has a usable one; ``near_duplicate_report`` and its SQL compare 200 chunks."""
+    ok = chunks(t).filter((F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    first = ok.filter("document_id is not null").groupBy(F.col("document_id").alias("id")).agg(F.min(F.struct("chunk_index", F.col("id").alias("chunk"), "embedding"))["embedding"].alias("embedding"))
+    return closest_pairs(first, 100, 0.6).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 del os, W

@@ -10,6 +10,7 @@ from corvane.functions import text as X
 from corvane.operators import code as C
 from corvane.operators import graph as G
 from corvane.plans import registry
+from corvane.plans import search as PS
 from corvane.sources import files
 from corvane.sources.versioned import Conflict, VersionedTable
 from corvane.streaming import changes
@@ -64,6 +65,24 @@ def test_order_covers_every_part(spark, tmp_path):
     assert dict(tuple(x) for x in registry.queries()["dependency_order_whole"](spark, str(tmp_path)).collect()) == want
 
 
+def test_closest_pairs_of_all_documents(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 64))
+    x = np.concatenate([x[r.integers(0, 60, 300)] + 0.5 * r.normal(size=(300, 64)), x[:3], x[:3]])
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(v @ v.T, 9)
+    want = sorted((-s[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.6)[:100]
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "id bigint, embedding array<double>")
+    for size in (1000, 50):
+        got = [tuple(r) for r in PS.closest_pairs(df, 100, 0.6, size).collect()]
+        assert [(a, b) for a, b, _ in got] == [(i, j) for _, i, j in want]
+    rows = [(2 * i + k, i, k, e.tolist() if k == 0 else [1.0] * 64) for i, e in enumerate(x) for k in (0, 1)]
+    spark.createDataFrame(rows, "id bigint, document_id bigint, chunk_index int, embedding array<double>").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {(r.a, r.b) for r in registry.queries()["near_duplicate_documents"](spark, str(tmp_path)).collect()} == {(i, j) for _, i, j in want}
+    used = [n for r in registry.queries()["compress_pairs"](spark, str(tmp_path)).collect() for n in (r.a, r.b)]
+    assert len(used) == len(set(used)) and max(used) > 200
+
+
 def test_reach_caps_nodes_in_order(spark):
     e = edges(spark, [(0, x) for x in (5, 3, 9)] + [(3, 4)])
     seed = spark.createDataFrame([(0,)], "node bigint")

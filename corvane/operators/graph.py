@@ -7,6 +7,8 @@ shared folder, which cuts the lineage. Nothing is collected but counts.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,14 +58,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, node_cap: int | None = None) -> DataFrame:
-    """(node, depth): least depth of every node within ``depth`` steps of the seeds (node).
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, node_cap: int | None = None) -> DataFrame:
+    """(node, depth): least depth of every node within ``depth`` steps of the seeds (node); without a depth, of every node they reach.
 
     ``node_cap`` is the feature of a bounded view: levels are cut in node order once that many nodes are found.
     """
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         new = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
         if node_cap is not None:
@@ -90,11 +92,11 @@ def simple_paths(edges: DataFrame, start, depth: int) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
     """(node, component): smallest node of each node's component, by alternating large-star and small-star.
 
     A hub's neighbours are linked to the hub's least neighbour, never to each other, so a hot
-    node costs its degree.
+    node costs its degree. It goes on until nothing changes; ``rounds`` without that are an error.
     """
     e = checkpointed(undirected(edges).filter("src <> dst"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -115,6 +117,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.groupBy("src").agg(F.min("dst").alias("component"))
     return nodes.join(roots.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -138,15 +142,17 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 24, every: i
     return rank
 
 
-def topological(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, level): Kahn's levels, dependencies first; members and dependents of a cycle have none."""
+def topological(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, level): Kahn's levels, dependencies first; members and dependents of a cycle have none. ``rounds`` levels that don't suffice are an error."""
     left = checkpointed(edges.select("src", "dst").distinct())
     todo = checkpointed(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
     out = None
-    for level in range(rounds):
+    for level in count():
         free = checkpointed(todo.join(left.select(F.col("src").alias("node")), "node", "left_anti"))
         if free.isEmpty():
             break
+        if level == rounds:
+            raise RuntimeError(f"more than {rounds} levels")
         found = free.withColumn("level", F.lit(level))
         out = found if out is None else out.unionByName(found)
         todo = checkpointed(todo.join(free, "node", "left_anti"))

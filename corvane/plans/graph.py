@@ -163,7 +163,7 @@ select p_partkey as node from part where p_partkey not in (select node from r)""
 def dead_code(t):
     """Nodes no entry point reaches."""
     roots = t("part").filter("p_size % 7 = 0").select(F.col("p_partkey").alias("node"))
-    alive = G.reach(deps(t).select("src", "dst").distinct(), roots, 30)
+    alive = G.reach(deps(t).select("src", "dst").distinct(), roots, None)
     return t("part").select(F.col("p_partkey").alias("node")).join(alive, "node", "left_anti")
 
 

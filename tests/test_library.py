@@ -57,6 +57,16 @@ def test_cycles_have_no_order(spark):
     assert got == {3: 0, 2: 1, 1: 2, 4: None, 5: None}
 
 
+def test_iterations_end_by_themselves(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(34)])
+    seed = spark.createDataFrame([(0,)], "node bigint")
+    assert {tuple(x) for x in G.reach(chain, seed, None).select("node", "depth").collect()} == {(i, i) for i in range(35)}
+    with pytest.raises(RuntimeError):
+        G.components(chain, rounds=1)
+    with pytest.raises(RuntimeError):
+        G.topological(edges(spark, [(1, 2), (2, 3)]), rounds=2)
+
+
 def test_order_covers_every_part(spark, tmp_path):
     spark.range(1, 3101).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     want = {1: 0, 2: 0}

@@ -17,26 +17,47 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local mode) a folder of the
-    local machine is made and set as the checkpoint folder.
+    Where the session names none, a folder of the machine serves if driver and executors are
+    one process (``local[...]``); on a cluster that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not conf and known.isDefined():
+        conf = known.get()
     if not conf:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf = found.get() if found.isDefined() else None
-    if not conf:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + os.path.join(tempfile.gettempdir(), "corvane-checkpoint")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not known.isDefined():
         spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it back."""
+    """Write ``df`` as a table of the shared folder and read it back; the table goes when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p.getParent())
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by ``written`` that no later plan reads."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, markup, neighbours, packing, sentences, splitting
-from corvane.sources.tables import load
+from corvane.sources.tables import load, written
 
 
 def p1_found(spark, d):
@@ -41,13 +41,13 @@ DIMS = 64
 
 def p6_found(spark, d):
     """Pairs of chunks of cosine 0.92 or more, one among the five most similar of the other."""
-    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5, least=0.92, trees=6, leaf=384, degree=12)
+    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5, least=0.92)
     return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
 
 
 def p6_most_similar(spark, d):
     """The five most similar chunks of every chunk."""
-    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5, degree=24, trees=8, leaf=256, rounds=4)
+    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5)
     return near.select("id", "other", F.round("sim", 9).alias("sim"), "rank")
 
 
@@ -56,8 +56,8 @@ def p6_search(spark, d):
 
     Queries are all chunks whose id is divisible by 20, against all chunks; each finds itself first.
     """
-    every = neighbours.usable(load(spark, d, "chunks"), "id", "embedding", DIMS)
-    graph, codes = neighbours.knn_graph(every.select("id", "raw"), DIMS, degree=24, trees=8, leaf=256, rounds=3)
+    codes = written(neighbours.usable(load(spark, d, "chunks"), "id", "embedding", DIMS).select("id", "code"), "codes")
+    graph = neighbours.knn_graph(codes, DIMS)
     queries = codes.filter("id % 20 = 0").select(F.col("id").alias("q"), F.col("code").alias("qcode"))
     return neighbours.greedy_search(graph, codes, queries, DIMS).select(F.col("q").alias("query_id"), F.col("id").alias("chunk_id"), F.round("s", 4).alias("sim"))
 

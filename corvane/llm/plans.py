@@ -10,7 +10,7 @@ from corvane.sources.tables import load, written
 
 def p1_found(spark, d):
     """Requests whose item had to be cut, and whether it offers natural boundaries throughout."""
-    pieces = splitting.split_oversized(splitting.requested_items(spark, d), "request_id", "item", "limit", "overlap", only_oversized=True)
+    pieces = splitting.split_oversized(splitting.requested_items(spark, d), "request_id", "item", "limit", "overlap", only_oversized=True, content=False)
     return pieces.filter("piece = 0").select(
         F.col("key").alias("request_id"), F.when(F.col("has_stretch"), "forced").otherwise("natural").alias("cut"))
 

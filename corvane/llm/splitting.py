@@ -19,6 +19,7 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ BREAKS = (
     (SPACE, re.compile(r"\s+")),
 )
 #: fixed values: what ends a stretch without natural boundary
-STRETCH = r"[^\s.!?…。！？।؟,;:，、；：،]"
+BOUNDARY = re.compile(r"[\s.!?…。！？।؟,;:，、；：،]+")
 
 
 def _refine(text: str, lo: int, hi: int, level: int) -> list[tuple[int, int]]:
@@ -48,8 +49,11 @@ def _refine(text: str, lo: int, hi: int, level: int) -> list[tuple[int, int]]:
     return [*ends, (hi, -1)]
 
 
-def _atoms(text: str, cap: int) -> list[tuple[int, int, int]]:
-    """(start, end, strength of the boundary after it) of the atomic segments."""
+def _atoms(text: str, cap: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(start, end, strength of the boundary after it) of the atomic segments, and the longest stretch of them without natural boundary.
+
+    The stretch is measured where no boundary was found in more than ``cap`` characters; shorter ones count as 0.
+    """
     spans = [(0, len(text), PARAGRAPH)]
     for level in range(len(BREAKS)):
         finer = []
@@ -63,8 +67,11 @@ def _atoms(text: str, cap: int) -> list[tuple[int, int, int]]:
                 finer.append((at, end, after if strength < 0 else strength))
                 at = end
         spans = finer
-    out = []
+    out, longest = [], 0
     for lo, hi, after in spans:
+        if hi - lo > cap:
+            # what closes the segment (marks, quotes, white space) is no part of the stretch
+            longest = max(longest, *map(len, BOUNDARY.split(text[lo:hi])))
         while hi - lo > cap:
             end = lo + cap
             while end > lo + max(1, cap // 2) and unicodedata.combining(text[end]):
@@ -72,16 +79,21 @@ def _atoms(text: str, cap: int) -> list[tuple[int, int, int]]:
             out.append((lo, end, FORCED))
             lo = end
         out.append((lo, hi, after))
-    return out
+    return out, longest
 
 
 def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, kind of the cut before it) of the pieces; the first one's kind is ``start``."""
+    return pieces_of(text, limit, overlap)[0]
+
+
+def pieces_of(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], bool]:
+    """The pieces as of ``cut_points``, and whether an atomic segment held a stretch longer than the limit without natural boundary."""
     if len(text) <= limit:
-        return [(0, len(text), "start")] if text else []
+        return [(0, len(text), "start")] if text else [], False
     overlap = max(0, min(overlap, limit - 1))
     cap = limit - overlap
-    atoms = _atoms(text, cap)
+    atoms, longest = _atoms(text, cap)
     # the first piece must hold an overlap for the second one to share
     while len(atoms) > 1 and atoms[0][1] < overlap:
         atoms[:2] = [(0, atoms[1][1], atoms[1][2])]
@@ -110,36 +122,36 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         if alive[i]:
             out.append((max(0, start[i] - overlap) if out else 0, end[i], kind))
             kind = NAMES[after[i]]
-    return out
+    return out, longest > limit
 
 
-def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(frames: Iterator[pd.DataFrame], content: bool) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for key, text, limit, overlap in zip(f["key"], f["item"], f["limit"], f["overlap"]):
-            forced = re.search(STRETCH + "{%d,}" % (limit + 1), text) is not None
-            rows.extend((key, i, a, b, kind, forced, text[a:b]) for i, (a, b, kind) in enumerate(cut_points(text, int(limit), int(overlap))))
+            pieces, forced = pieces_of(text, int(limit), int(overlap))
+            rows.extend((key, i, a, b, kind, forced, text[a:b] if content else None) for i, (a, b, kind) in enumerate(pieces))
         yield pd.DataFrame(rows, columns=["key", "piece", "start_char", "end_char", "cut", "has_stretch", "content"])
 
 
-def split_oversized(items: DataFrame, key: str, item: str, limit: str, overlap: str, only_oversized: bool = False) -> DataFrame:
+def split_oversized(items: DataFrame, key: str, item: str, limit: str, overlap: str, only_oversized: bool = False, content: bool = True) -> DataFrame:
     """(key, piece, start_char, end_char, cut, has_stretch, content) of every piece.
 
-    ``has_stretch``: the item holds a stretch longer than its limit without any natural boundary.
-    Only oversized items go through Python.
+    ``has_stretch``: an atomic segment of the item held a stretch longer than the limit without any natural boundary.
+    Only oversized items go through Python. Without ``content`` the column is null and the pieces are given by their bounds.
     """
     rows = items.select(
         F.col(key).cast("long").alias("key"), F.col(item).alias("item"), F.col(limit).cast("long").alias("limit"),
         F.coalesce(F.col(overlap), F.lit(0)).cast("long").alias("overlap"),
     ).filter((F.col("item") != "") & (F.col("limit") >= 1))
     big = rows.filter(F.length("item") > F.col("limit")).mapInPandas(
-        _cut, "key bigint, piece int, start_char int, end_char int, cut string, has_stretch boolean, content string"
+        partial(_cut, content=content), "key bigint, piece int, start_char int, end_char int, cut string, has_stretch boolean, content string"
     )
     if only_oversized:
         return big
     small = rows.filter(F.length("item") <= F.col("limit")).select(
         "key", F.lit(0).alias("piece"), F.lit(0).alias("start_char"), F.length("item").alias("end_char"), F.lit("start").alias("cut"),
-        F.lit(False).alias("has_stretch"), F.col("item").alias("content"),
+        F.lit(False).alias("has_stretch"), (F.col("item") if content else F.lit(None).cast("string")).alias("content"),
     )
     return big.unionByName(small)
 
@@ -169,8 +181,7 @@ def requested_items(spark, d: str) -> DataFrame:
     # the profiles are a handful of configured rows
     profiles = load(spark, d, "chunk_profiles").groupBy(F.lower(F.trim("wing")).alias("w")).agg(
         F.max(F.struct("chunk_size", "chunk_overlap")).alias("c"))
-    star = profiles.filter("w = '*'").select(F.col("w").alias("any"), F.col("c").alias("d"))
-    both = texts.unionByName(files).withColumn("w", F.lower(F.regexp_replace("wing", r"(?U)^\s+|\s+$", ""))).withColumn("any", F.lit("*"))
-    got = both.join(F.broadcast(profiles), "w", "left").join(F.broadcast(star), "any", "left")
-    use = F.coalesce("c", "d")
+    both = texts.unionByName(files).withColumn("w", F.lower(F.regexp_replace("wing", r"(?U)^\s+|\s+$", "")))
+    got = both.join(profiles, "w", "left")
+    use = F.coalesce("c", profiles.filter("w = '*'").select("c").scalar())
     return got.select("request_id", "item", use["chunk_size"].alias("limit"), use["chunk_overlap"].alias("overlap"))

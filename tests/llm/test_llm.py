@@ -53,6 +53,18 @@ def test_cuts_prefer_strong_boundaries():
     assert [k for _, _, k in splitting.cut_points("x" * 25, 10, 3)] == ["start", "forced", "forced", "forced"]
 
 
+def test_stretches_are_measured_on_the_atoms():
+    def by_definition(text, limit):
+        import re
+        return len(text) > limit and re.search(r"[^\s.!?…。！？।؟,;:，、；：،]{%d,}" % (limit + 1), text) is not None
+
+    r = random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choice("ab" * 6 + " .,\n。)\"؛\u2029") for _ in range(r.randrange(120)))
+        limit, overlap = r.randrange(3, 25), r.randrange(0, 20)
+        assert splitting.pieces_of(text, limit, overlap)[1] == by_definition(text, limit), (text, limit, overlap)
+
+
 def test_split_edges(spark):
     rows = [(1, None, 5, 1), (2, "", 5, 1), (3, "short", 5, 1), (4, "one two three", 5, 9), (5, "abc", None, 0), (6, "abc", 0, 0), (3, "short", 5, 1)]
     df = spark.createDataFrame([(*r, "x", 7) for r in rows], "id bigint, t string, n bigint, o bigint, item string, piece int")
@@ -120,6 +132,16 @@ def test_containers(spark, group):
     assert packing.pack(df.limit(0), "id", "n", 100).count() == 0
 
 
+def test_several_groups_come_near_the_lower_bound(spark):
+    r = random.Random(9)
+    rows = [(i, max(0, int(r.lognormvariate(5, 1.1)))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id bigint, n int")
+    got = packing.pack(df, "id", "n", 2048, group_items=2_000).select("container", "size", "used").toPandas()
+    fill = got.groupby("container").agg(s=("size", "sum"), u=("used", "first"))
+    assert (fill.s == fill.u).all() and fill.s.max() <= 2048 and got["size"].sum() == sum(n for _, n in rows)
+    assert len(fill) <= 1.01 * -(-sum(n for _, n in rows) // 2048)
+
+
 def test_items_that_never_combine_end(spark):
     df = spark.createDataFrame([(i, 60) for i in range(300)], "id bigint, n int")
     assert packing.pack(df, "id", "n", 100, group_items=50).select("container").distinct().count() == 300

@@ -1,13 +1,12 @@
 """Processing only new or changed records, run by run.
 
-The commit sequence of a root is its succeeded runs in order of completion. A run reads
-the deliveries in (watermark, upper]: the watermark is the upper limit of the
-root's last succeeded run, the upper limit is fixed before the run reads
-anything. Output and watermark are committed together by one rename, so a run
-that fails leaves neither and the next one takes its records again.
+Deliveries carry their place in the commit sequence: numbers that only rise. A run reads the deliveries in
+(watermark, upper]: the watermark is the upper limit of the last committed run, the upper limit is fixed
+before the run reads anything and never lies below the watermark. Output, state and watermark become visible together by the
+rename of one commit record, so a run that fails leaves nothing behind and the next one takes its records again.
 
-``taken_by_runs`` evaluates that rule for all runs of a history at once;
-``IncrementalStore`` executes it for one run, with the commit on disk.
+``IncrementalStore`` executes runs, ``DeliveryLog`` numbers what is delivered, and ``taken_by_runs`` replays the runs of a
+history through a store: the i-th succeeded runs of all roots are the i-th commit.
 
 Defined results: observations without hash, path, root or time are no
 observations; repeated rows are one; late rows count for the first run that
@@ -17,13 +16,12 @@ completes after their delivery; a file not seen keeps its state; the manifest is
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import _hadoop, shared_dir
 
 def hash_value(c: Column) -> Column:
     """A hash by its value: without white space, algorithm prefix and letter case."""
@@ -55,25 +53,28 @@ def run_windows(runs: DataFrame) -> DataFrame:
 
 def taken_by_runs(obs: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, path) of every file whose state is new or different at a succeeded run."""
-    # slot 0 is what was known before every run, slot i the i-th succeeded run of the root
-    slotted = obs.join(run_windows(runs), "root").select(
+    spark = obs.sparkSession
+    windows = run_windows(runs)
+    # place 0 is what was known before every run, place i what the i-th succeeded run of the root is the first to see
+    placed = obs.join(windows, "root").select(
         "root", "path", "hash", "observed", "tie",
         F.when(F.col("delivered").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("uppers", lambda u: u["upper"] < F.col("delivered"))) + 1).alias("slot"),
+        .otherwise(F.size(F.filter("uppers", lambda u: u["upper"] < F.col("delivered"))) + 1).alias("seq"),
         F.size("uppers").alias("last"),
-        F.transform("uppers", lambda u: u["run_id"]).alias("ids"),
-    ).filter(F.col("slot") <= F.col("last"))
-    newest = slotted.groupBy("root", "path", "slot").agg(
-        F.max(F.struct("observed", "tie", "hash")).alias("o"), F.first("ids").alias("ids")
-    )
-    w = W.partitionBy("root", "path").orderBy("slot")
-    states = newest.withColumn("state", F.max("o").over(w.rowsBetween(W.unboundedPreceding, 0))["hash"])
-    before = F.lag("state").over(w)
-    return (
-        states.withColumn("before", before)
-        .filter((F.col("slot") > 0) & (F.col("before").isNull() | (F.col("before") != F.col("state"))))
-        .select(F.element_at("ids", F.col("slot")).alias("run_id"), "path")
-    )
+    ).filter(F.col("seq") <= F.col("last")).drop("last")
+    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/runs-{uuid.uuid4().hex}"
+    log = DeliveryLog(spark, f"{path}/log")
+    # of the observations that one run is the first to see only the latest matters
+    log.load(placed.groupBy("root", "path", "seq").agg(F.max(F.struct("observed", "tie", "hash")).alias("o")).select("root", "path", "o.*", "seq"))
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    store = IncrementalStore(spark, f"{path}/store", ("root", "path"))
+    most = windows.agg(F.max(F.size("uppers"))).first()[0] or 0
+    store.begin(log)
+    for upper in range(1, most + 1):
+        store.run(log, upper)
+    # the commit's number is the place of the run among its root's runs
+    return store.output().join(windows, "root").select(F.element_at("uppers", F.col("sequence")).getField("run_id").alias("run_id"), "path")
 
 
 def files_taken(manifest: DataFrame, scan: DataFrame, runs: DataFrame) -> DataFrame:
@@ -81,58 +82,157 @@ def files_taken(manifest: DataFrame, scan: DataFrame, runs: DataFrame) -> DataFr
     return taken_by_runs(observations(manifest, scan), runs).select("run_id", F.col("path").alias("canonical_path"))
 
 
-class IncrementalStore:
-    """Committed runs of one root in a folder of the shared file system.
+class Stale(RuntimeError):
+    """A run's upper limit lies below the watermark, or another run committed first."""
 
-    ``commits/N`` holds the output rows and the state of run N; ``commits/N/_commit.json`` its
-    watermark. A run writes everything under ``staging/`` and renames the
-    folder to ``commits/N``: the rename is the commit. Two runs that race for
-    the same N cannot both win, since renaming onto an existing folder fails.
-    """
+
+def _rename(spark, a: str, b: str) -> None:
+    """Moves a file or folder; fails if the target exists."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    none = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    source, target = fs.Path(a), fs.Path(b)
+    context = fs.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, target, none)
+    except Exception as e:  # the JVM's own errors come wrapped
+        raise Stale(f"{b} exists or can't be made") from e
+
+
+def _names(spark, path: str) -> list[str]:
+    fs, p = _hadoop(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+class DeliveryLog:
+    """Delivered rows in numbered parts: ``seq=N`` is the N-th delivery, whatever times its rows carry."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
-        os.makedirs(os.path.join(path, "commits"), exist_ok=True)
+        fs, p = _hadoop(spark, path)
+        fs.mkdirs(p)
+
+    def last(self) -> int:
+        """Number of the last delivery, 0 if none."""
+        return max([0, *(int(n[4:]) for n in _names(self.spark, self.path) if n.startswith("seq="))])
+
+    def append(self, rows: DataFrame) -> int:
+        """Lands rows as the next delivery and returns its number. Of two that race for a number one fails and may try again."""
+        n = self.last() + 1
+        stage = f"{self.path}/_stage-{uuid.uuid4().hex}"
+        rows.write.parquet(stage)
+        _rename(self.spark, stage, f"{self.path}/seq={n}")
+        return n
+
+    def load(self, rows: DataFrame) -> None:
+        """Fills an empty log with rows that carry their number ``seq``, as at the replay of a history."""
+        rows.write.partitionBy("seq").mode("append").parquet(self.path)
+
+    def between(self, low: int, upper: int) -> DataFrame | None:
+        """Rows of the deliveries in (low, upper]; only their parts are read."""
+        parts = [f"{self.path}/{n}" for n in _names(self.spark, self.path) if n.startswith("seq=") and low < int(n[4:]) <= upper]
+        return self.spark.read.parquet(*sorted(parts)) if parts else None
+
+
+class IncrementalStore:
+    """Committed runs in a folder of the shared file system.
+
+    ``data/ID`` holds the rows whose state a run changed, with the mark ``taken`` for the run's output; ``commits/N.json``
+    makes run N visible: its window, its folder, and the folders that make up the state after it. The state of a key is
+    the latest of its rows, so a run writes only what it changed; every ``compact`` runs the folders are written
+    together as one. Two runs that race for the same N can't both win, since the rename of a record onto an existing one fails.
+    """
+
+    def __init__(self, spark, path: str, keys: tuple[str, ...] = ("path",), compact: int = 16):
+        self.spark, self.path, self.keys, self.compact = spark, path, list(keys), compact
+        for part in ("commits", "data"):
+            fs, p = _hadoop(spark, f"{path}/{part}")
+            fs.mkdirs(p)
 
     def sequence(self) -> int:
-        """Number of the last committed run, 0 if none."""
-        return max([0, *(int(n) for n in os.listdir(f"{self.path}/commits") if n.isdigit())])
+        """Number of the last committed run, -1 if none; 0 is what was known before every run."""
+        return max([-1, *(int(n[:-5]) for n in _names(self.spark, f"{self.path}/commits") if n.endswith(".json") and n[0] != "_")])
 
-    def watermark(self) -> str | None:
-        """Upper limit of the last committed run."""
+    def commit(self, n: int) -> dict:
+        """The record of a committed run."""
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/commits/{n}.json", wholetext=True).collect()))
+
+    def watermark(self) -> int:
+        """Upper limit of the last committed run; what is delivered later is yet to be taken."""
         n = self.sequence()
-        return json.load(open(f"{self.path}/commits/{n}/_commit.json"))["upper"] if n else None
+        return self.commit(n)["upper"] if n >= 0 else -1
 
     def state(self) -> DataFrame | None:
-        """(path, observed, tie, hash) as of the watermark."""
+        """(keys, observed, tie, hash) as of the watermark."""
         n = self.sequence()
-        return self.spark.read.parquet(f"{self.path}/commits/{n}/state") if n else None
-
-    def run(self, obs: DataFrame, upper: str, before_commit=None) -> DataFrame:
-        """Take the files changed by deliveries in (watermark, upper] and commit them with the new watermark.
-
-        ``obs`` has path, hash, observed, tie, delivered (null: known before every run).
-        Nothing is visible until the rename; an exception before it, such as
-        one thrown by ``before_commit``, leaves the store as it was.
-        """
-        low, n = self.watermark(), self.sequence() + 1
-        upper_ts = F.lit(upper).cast("timestamp")
-        fresh = obs.filter(F.col("delivered") <= upper_ts)
-        known = self.state()
-        if low is None:
-            known = obs.filter(F.col("delivered").isNull()).groupBy("path").agg(F.max(F.struct("observed", "tie", "hash")).alias("o")).select("path", "o.*")
-        else:
-            fresh = fresh.filter(F.col("delivered") > F.lit(low).cast("timestamp"))
-        new = fresh.groupBy("path").agg(F.max(F.struct("observed", "tie", "hash")).alias("n"))
-        both = known.select("path", F.struct("observed", "tie", "hash").alias("o")).join(new, "path", "full")
-        both = both.withColumn("s", F.greatest("o", "n"))
-        stage = f"{self.path}/staging/{uuid.uuid4().hex}"
-        both.select("path", "s.*").write.parquet(f"{stage}/state")
-        taken = both.filter(F.col("o").isNull() | (F.col("o.hash") != F.col("s.hash")))
-        taken.select("path", "s.hash").write.parquet(f"{stage}/taken")
-        with open(f"{stage}/_commit.json", "w") as f:
-            json.dump({"sequence": n, "lower": low, "upper": upper}, f)
+        return self._latest(self._rows(self.commit(n)["state"])).select(*self.keys, "o.*") if n >= 0 else None
+
+    def output(self) -> DataFrame:
+        """(sequence, keys, hash) that all committed runs took."""
+        found = None
+        for n in range(1, self.sequence() + 1):
+            own = self._rows([self.commit(n)["data"]]).filter("taken").select(F.lit(n).alias("sequence"), *self.keys, "hash")
+            found = own if found is None else found.unionByName(own)
+        if found is None:
+            found = self.spark.createDataFrame([], "sequence int, " + ", ".join(f"{k} string" for k in self.keys) + ", hash string")
+        return found
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/data/{f}" for f in folders])
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(F.max(F.struct("observed", "tie", "hash")).alias("o"))
+
+    def begin(self, log: DeliveryLog) -> None:
+        """Commit 0: what is known before every run, which nobody takes."""
+        if self.sequence() < 0:
+            known = log.between(-1, 0)
+            rows = (log.between(-1, 1 << 62) if known is None else known)
+            if rows is None:
+                raise ValueError("the log is empty")
+            rows = self._latest(rows if known is not None else rows.limit(0)).select(*self.keys, "o.*", F.lit(False).alias("taken"))
+            self._publish(0, -1, 0, rows, [], None)
+
+    def _publish(self, n: int, low: int, upper: int, rows: DataFrame, state: list[str], before_commit) -> str:
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{folder}")
+        held = [*state, folder]
+        if len(held) > self.compact:
+            whole = uuid.uuid4().hex
+            self._latest(self._rows(held)).select(*self.keys, "o.*", F.lit(False).alias("taken")).write.parquet(f"{self.path}/data/{whole}")
+            held = [whole]
         if before_commit:
             before_commit()
-        os.rename(stage, f"{self.path}/commits/{n}")
-        return self.spark.read.parquet(f"{self.path}/commits/{n}/taken")
+        stage = f"{self.path}/commits/_{folder}"
+        fs, p = _hadoop(self.spark, stage)
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps({"sequence": n, "lower": low, "upper": upper, "data": folder, "state": held}).encode()))
+        out.close()
+        _rename(self.spark, stage, f"{self.path}/commits/{n}.json")
+        return folder
+
+    def run(self, log: DeliveryLog, upper: int | None = None, before_commit=None) -> DataFrame:
+        """Take what the deliveries in (watermark, upper] made new or different, commit it with the new watermark, and return it.
+
+        The log's rows have the keys, hash, observed and tie. ``upper`` is the log's last delivery if none is given; it is fixed
+        before anything is read. One below the watermark is refused; one at the watermark has nothing to take and commits nothing.
+        Nothing is visible until the record's rename; an exception before it, such as one thrown by ``before_commit``, leaves
+        the store as it was.
+        """
+        if self.sequence() < 0:
+            self.begin(log)
+        n = self.sequence()
+        last = self.commit(n)
+        low = last["upper"]
+        upper = log.last() if upper is None else upper
+        if upper < low:
+            raise Stale(f"upper limit {upper} lies below the watermark {low}")
+        known = self._rows(last["state"])
+        fresh = log.between(low, upper)
+        if upper == low:
+            return known.select(*self.keys, "hash").limit(0)
+        new = self._latest(fresh if fresh is not None else known.limit(0)).withColumnRenamed("o", "n")
+        both = new.join(self._latest(known), self.keys, "left").filter(F.col("o").isNull() | (F.col("n") > F.col("o")))
+        rows = both.select(*self.keys, "n.*", (F.col("o").isNull() | (F.col("o.hash") != F.col("n.hash"))).alias("taken"))
+        folder = self._publish(n + 1, low, upper, rows, last["state"], before_commit)
+        return self._rows([folder]).filter("taken").select(*self.keys, "hash")

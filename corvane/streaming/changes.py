@@ -54,12 +54,15 @@ def changed_between(log: DataFrame, generation: str, entity: str, since: int, un
     return own.select(entity).distinct()
 
 
-def sync_into(stream: DataFrame, store, checkpoint: str):
-    """Runs each batch through an ``IncrementalStore``; a batch that is delivered again changes nothing."""
+def sync_into(stream: DataFrame, log, store, checkpoint: str):
+    """Lands each batch in a ``DeliveryLog`` and runs an ``IncrementalStore`` over it.
+
+    A batch's number is the landing's, whatever times its rows carry, so late rows are taken like any others; a batch
+    that is delivered again changes no state, and so takes nothing.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        top = df.agg(F.max("delivered").cast("string")).first()[0]
-        if top is not None:
-            store.run(df, top)
+        if not df.isEmpty():
+            store.run(log, log.append(df))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -136,25 +136,72 @@ def test_runs_take_what_changed(spark):
     assert got == [(12, "f1"), (12, "f2"), (13, "f1")]
 
 
-def test_store_commits_atomically_and_agrees(spark, tmp_path):
-    from corvane.operators.incremental import observations
+def test_store_runs_agree_with_the_replay_and_survive_a_crash(spark, tmp_path):
+    from corvane.operators.incremental import DeliveryLog, observations
 
     man, scan, runs = history(spark)
     obs = observations(man, scan).drop("root")
-    store = IncrementalStore(spark, str(tmp_path / "s"))
-    fmt = lambda h: ts(h).strftime("%Y-%m-%d %H:%M:%S")
-    taken = {10: store.run(obs, fmt(1))}
+    log, store = DeliveryLog(spark, str(tmp_path / "log")), IncrementalStore(spark, str(tmp_path / "s"), compact=2)
+    number = F.when(F.col("delivered").isNull(), 0)
+    for i, h in enumerate((1, 3, 6, 10)):
+        number = number.when(F.col("delivered") <= F.lit(ts(h)), i + 1)
+    log.load(obs.withColumn("seq", number).filter("seq is not null").drop("delivered"))
+    taken = {10: store.run(log, 1)}
 
     def crash():
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        store.run(obs, fmt(2), before_commit=crash)
-    assert store.sequence() == 1 and store.watermark() == fmt(1)
-    for run, h in ((12, 3), (13, 6), (14, 10)):
-        taken[run] = store.run(obs, fmt(h))
+        store.run(log, 2, before_commit=crash)
+    assert store.sequence() == 1 and store.watermark() == 1
+    for run, upper in ((12, 2), (13, 3), (14, 4)):
+        taken[run] = store.run(log, upper)
     got = sorted((run, r.path) for run, df in taken.items() for r in df.collect())
     assert got == sorted(tuple(r) for r in files_taken(man, scan, runs).collect())
+    assert len(store.commit(store.sequence())["state"]) <= 2
+
+
+OBS = "path string, hash string, observed timestamp, tie bigint"
+
+
+def test_batches_out_of_order_and_lower_limits(spark, tmp_path):
+    from corvane.operators.incremental import DeliveryLog, Stale
+
+    log, store = DeliveryLog(spark, str(tmp_path / "log")), IncrementalStore(spark, str(tmp_path / "s"))
+    land = lambda *rows: log.append(spark.createDataFrame([(p, h, ts(t), 1) for p, h, t in rows], OBS))
+    took = lambda df: sorted(r.path for r in df.collect())
+    land(("a", "1", 5))
+    assert took(store.run(log)) == ["a"] and store.watermark() == 1
+    land(("b", "1", 3), ("a", "0", 3))  # older than what is known: b is new, a's state stays
+    assert took(store.run(log)) == ["b"] and store.watermark() == 2
+    land(("c", "1", 6), ("a", "2", 6))
+    land(("d", "1", 1))
+    assert took(store.run(log, 3)) == ["a", "c"]
+    assert took(store.run(log, 3)) == [] and store.sequence() == 3
+    with pytest.raises(Stale):
+        store.run(log, 2)
+    other = IncrementalStore(spark, str(tmp_path / "s"))
+
+    def race():
+        other.run(log, 4)
+
+    with pytest.raises(Stale):
+        store.run(log, 4, before_commit=race)
+    assert store.sequence() == 4 and store.watermark() == 4
+    assert sorted((r.path, r.hash) for r in store.state().collect()) == [("a", "2"), ("b", "1"), ("c", "1"), ("d", "1")]
+    assert [tuple(r) for r in store.output().filter("sequence = 4").collect()] == [(4, "d", "1")]
+
+
+def test_stream_into_store(spark, tmp_path):
+    from corvane.operators.incremental import DeliveryLog
+    from corvane.streaming.changes import change_log, sync_into
+
+    log, store = DeliveryLog(spark, str(tmp_path / "log")), IncrementalStore(spark, str(tmp_path / "s"))
+    for i, rows in enumerate(([("a", "1", ts(5), 1)], [("b", "1", ts(3), 1), ("a", "0", ts(3), 1)])):
+        spark.createDataFrame(rows, OBS).write.mode("append").parquet(str(tmp_path / "in"))
+        sync_into(change_log(spark, str(tmp_path / "in"), OBS), log, store, str(tmp_path / "c")).awaitTermination()
+        assert store.watermark() == i + 1
+    assert sorted((r.sequence, r.path) for r in store.output().collect()) == [(1, "a"), (2, "b")]
 
 
 def test_no_runs(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,22 +41,51 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it back; the table goes when the session's JVM ends."""
+def written(df: DataFrame, what: str, bucket: str | None = None, buckets: int = 0) -> DataFrame:
+    """Write ``df`` as a table of the shared folder and read it back; the table goes when the session's JVM ends.
+
+    With ``bucket`` the rows lie in ``buckets`` parts by the hash of that column, so that joins and groups on it need no
+    exchange of this table. Such a table has a name in the session's catalog until it is discarded or the process ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}"
+    if bucket:
+        df.repartition(buckets, bucket).write.bucketBy(buckets, bucket).sortBy(bucket).option("path", path).saveAsTable(name)
+    else:
+        df.write.parquet(path)
     fs, p = _hadoop(spark, path)
     fs.deleteOnExit(p.getParent())
-    out = spark.read.parquet(path)
+    out = spark.table(name) if bucket else spark.read.parquet(path)
     out._written_at = path
+    if bucket:
+        out._written_as = name
+        if spark not in _NAMED:
+            _NAMED[spark] = set()
+            atexit.register(_forget, spark)
+        _NAMED[spark].add(name)
     return out
 
 
+_NAMED: dict[SparkSession, set[str]] = {}
+
+
+def _forget(spark: SparkSession) -> None:
+    try:
+        for name in _NAMED[spark]:
+            spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session has ended, and an in-memory catalog with it
+        pass
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by ``written`` that no later plan reads."""
     path = getattr(df, "_written_at", None)
     if path:
+        name = getattr(df, "_written_as", None)
+        if name:
+            df.sparkSession.sql(f"drop table if exists {name}")
+            _NAMED[df.sparkSession].discard(name)
         fs, p = _hadoop(df.sparkSession, path)
         fs.delete(p, True)
 

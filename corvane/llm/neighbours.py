@@ -348,7 +348,7 @@ def _by_group(df: DataFrame, keys: list[str], rows: int, each: int = 8_192) -> D
 
 
 def knn_graph(
-    codes: DataFrame, dims: int, degree: int = 12, trees: int = 3, cell_rows: int = 4_096, home_rows: int = 16_384, change: float = 0.01,
+    codes: DataFrame, dims: int, degree: int = 12, trees: int = 3, cell_rows: int = 4_096, home_rows: int = 32_768, change: float = 0.02,
     sample_rows: int = 20_000, seed: int = 7,
 ) -> DataFrame:
     """(id, home, ids, sims, homes): the ``degree`` nearest found for every id of (id, code), best first.
@@ -373,8 +373,9 @@ def knn_graph(
     blocks = _by_group(routed, ["cell"], n * trees).mapInArrow(partial(_block_knn, k=degree, most=2 * cell_rows), LISTS)
     flat = blocks.groupBy("id").agg(F.max("home").alias("home"), F.flatten(F.collect_list(_zip())).alias("l"))
     lists = ("id", "home", F.col("b.ids").alias("ids"), F.col("b.sims").alias("sims"), F.col("b.homes").alias("homes"))
+    buckets = _buckets(codes)
     graph = written(flat.select("id", "home", _best(F.col("l"), degree).alias("b")).select(
-        *lists, F.transform("b", lambda _: F.lit(True)).alias("news"), F.lit(True).alias("live")), "graph")
+        *lists, F.transform("b", lambda _: F.lit(True)).alias("news"), F.lit(True).alias("live")), "graph", "id", buckets)
     first = True
     while True:
         found = descend(graph, codes, degree, first).groupBy("id").agg(F.flatten(F.collect_list(_zip())).alias("more"))
@@ -382,7 +383,7 @@ def knn_graph(
         both = graph.select("id", "home", F.col("ids").alias("old"), _zip().alias("l")).join(found, "id", "left")
         both = both.select("id", "home", "old", F.col("more").isNotNull().alias("live"), F.when(F.col("more").isNull(), F.col("l")).otherwise(
             _best(F.concat("l", F.coalesce("more", empty)), degree)).alias("b"))
-        after = written(both.select(*lists, F.transform("b", lambda x: ~F.array_contains("old", x["ids"])).alias("news"), "live"), "graph")
+        after = written(both.select(*lists, F.transform("b", lambda x: ~F.array_contains("old", x["ids"])).alias("news"), "live"), "graph", "id", buckets)
         discard(graph)
         graph, first = after, False
         new = graph.select(F.sum(F.size(F.filter("news", lambda x: x)))).first()[0] or 0
@@ -393,6 +394,9 @@ def knn_graph(
 def _exact(batches: Iterator[pa.RecordBatch], k: int, dims: int, least: float) -> Iterator[pa.RecordBatch]:
     """(node, to, sim): of each node's candidates the k most similar in double precision. Rows: (group, id, raw, near)."""
     for b in _groups(batches, 1):
+        ids = b.column(1).to_numpy()
+        once = pa.array(np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]))
+        b = b.take(once)
         ids = b.column(1).to_numpy()
         x = _matrix(b.column(2), "<f4").astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -410,7 +414,7 @@ def _exact(batches: Iterator[pa.RecordBatch], k: int, dims: int, least: float) -
         yield _batch(node=pa.array(ids[row[keep]]), to=pa.array(to[keep]), sim=pa.array(sim[keep]))
 
 
-def _exact_lists(graph: DataFrame, raw: DataFrame, dims: int, k: int, least: float | None, doubt: float) -> DataFrame:
+def _exact_lists(graph: DataFrame, nodes: DataFrame, raw: DataFrame, dims: int, k: int, least: float | None, doubt: float) -> DataFrame:
     """(node, to, sim): the k most similar of each list, compared in double precision; ``doubt`` covers the codes' error."""
     bar = F.coalesce(F.get("sims", F.lit(k - 1)), F.lit(-UNIT)) - int(doubt * UNIT)
     if least is not None:
@@ -420,14 +424,20 @@ def _exact_lists(graph: DataFrame, raw: DataFrame, dims: int, k: int, least: flo
     none = F.array().cast("array<bigint>")
     hosts = near.select("id", F.col("home").alias("group"), F.col("e.ids").alias("near"))
     asked = guests.groupBy("id").agg(F.collect_set("group").alias("groups"))
-    rows = hosts.join(asked, "id", "full").join(raw, "id").select(
-        "id", "raw", "group", F.coalesce("near", none).alias("near"),
+    # a vector delivered twice comes twice here; the row of its digest is the one that counts
+    rows = hosts.join(asked, "id", "full").join(nodes, "id").join(raw.withColumnRenamed("h", "g"), "id").filter("g = h").select(
+        "id", F.col("v").alias("raw"), "group", F.coalesce("near", none).alias("near"),
         F.explode(F.array_distinct(F.concat(F.coalesce("groups", F.array().cast("array<int>")), F.when(F.col("group").isNull(), F.array().cast("array<int>")).otherwise(F.array("group"))))).alias("at"))
     sent = rows.select(F.col("at").alias("group"), "id", "raw", F.when(F.col("group") == F.col("at"), F.col("near")).otherwise(none).alias("near"))
     return _by_group(sent, ["group"], graph.count()).mapInArrow(
         partial(_exact, k=k, dims=dims, least=-2.0 if least is None else least), "node bigint, to bigint, sim double")
 
 
+def _buckets(df: DataFrame, each: int = 65_536) -> int:
+    """Parts for a table that is joined by id again and again."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(50_000, df.count() // each))
+
+
 def most_similar(
     df: DataFrame, key: str, vector: str, dims: int, k: int = 5, least: float | None = None, doubt: float = 0.01, **how
 ) -> DataFrame:
@@ -447,11 +457,10 @@ def most_similar(
     ranked = many.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1)
     firsts = written(ranked.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("firsts"), F.max("hot").alias("hot")), "groups")
     copies = many.filter("id <> node")
-    nodes = written(every.join(copies.select("id"), "id", "left_anti").select("id", "h", "code"), "nodes")
+    nodes = written(every.join(copies.select("id"), "id", "left_anti").select("id", "h", "code"), "nodes", "id", _buckets(every))
     discard(every)
     graph = knn_graph(nodes.select("id", "code"), dims, **how)
-    raw = _vectors(df, key, vector, dims, True).join(nodes.select("id", "h"), ["id", "h"]).groupBy("id").agg(F.min("v").alias("raw"))
-    best = written(_exact_lists(graph, raw, dims, k, least, doubt), "best")
+    best = written(_exact_lists(graph, nodes.select("id", "h"), _vectors(df, key, vector, dims, True), dims, k, least, doubt), "best")
     # back to ids: the others of the own group come first, then the near groups' smallest ids
     spread = best.join(firsts.select(F.col("node").alias("to"), "firsts"), "to", "left").select(
         "node", F.explode(F.coalesce("firsts", F.array("to"))).alias("other"), "sim")

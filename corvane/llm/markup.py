@@ -201,8 +201,7 @@ def role(raw: str, masked: str, span: str | None) -> str:
     return "paragraph"
 
 
-DIMS = 768
-PATH_AT = 640
+MARKED_AT, WORD_AT, PATH_AT, DIMS = 640, 1_152, 1_280, 1_408  # where hashed runs of marks end, words after a mark, other words, paths
 _CLASS = np.zeros(129, np.int64)  # 0: beyond ASCII; 1 lower, 2 upper, 3 digit, 4 space, 5 line break; marks have a class each
 for _c in range(128):
     _CLASS[_c] = 1 if 97 <= _c <= 122 else 2 if 65 <= _c <= 90 else 3 if 48 <= _c <= 57 else 5 if _c == 10 else 4 if _c <= 32 or _c == 127 else 6 + _c
@@ -227,7 +226,7 @@ def features(blocks_: list[str], paths: list[str]) -> np.ndarray:
     keep = np.r_[True, (cls[1:] != cls[:-1]) | (cls[1:] > 5)] if len(cls) else np.zeros(0, bool)
     c, own = cls[keep], block[keep]
     flat = []
-    for width, lo, hi in ((3, 0, 256), (5, 256, 448)):
+    for width, lo, hi in ((3, 0, 256), (5, 256, MARKED_AT)):
         if len(c) < width:
             continue
         key = np.zeros(len(c) - width + 1, np.uint64)
@@ -246,13 +245,19 @@ def features(blocks_: list[str], paths: list[str]) -> np.ndarray:
         value = np.where(letter, (code | 32).astype(np.uint64) * _POWERS[np.minimum(since, 15)], np.uint64(0))
         word = np.add.reduceat(value, start)  # what follows a word up to the next one counts nothing
         before = np.where(start > 0, cls[np.maximum(start - 1, 0)], 5).astype(np.uint64)
-        before = np.where(before < 6, np.uint64(0), before)
-        flat.append(block[start] * DIMS + 448 + _mix(word * np.uint64(257) + before, PATH_AT - 448).astype(np.int64))
+        after = np.where(before < 6, np.uint64(0), before)
+        h = _mix(word * np.uint64(257) + after, 1 << 16).astype(np.int64)
+        at = np.where(after > 0, MARKED_AT + h % (WORD_AT - MARKED_AT), WORD_AT + h % (PATH_AT - WORD_AT))
+        flat.append(block[start] * DIMS + at)
     v = np.bincount(np.concatenate(flat), minlength=n * DIMS).astype(np.float32).reshape(n, DIMS) if flat else np.zeros((n, DIMS), np.float32)
     for i, (raw, path) in enumerate(zip(blocks_, paths)):
         for key in ("path:" + path, "start:" + raw[:40].lstrip()[:3], "end:" + raw[-40:].rstrip()[-2:]):
-            v[i, PATH_AT + zlib.crc32(key.encode("utf-8", "surrogatepass")) % (DIMS - PATH_AT)] += 2
-    return np.log1p(v)
+            v[i, PATH_AT + zlib.crc32(key.encode("utf-8", "surrogatepass")) % (DIMS - PATH_AT)] = 1
+    # a run of marks is there or not, however long the block; words count by their share
+    v[:, :WORD_AT] = v[:, :WORD_AT] > 0
+    words = np.log1p(v[:, WORD_AT:PATH_AT])
+    v[:, WORD_AT:PATH_AT] = 2 * words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)
+    return v
 
 
 OPENING = re.compile(r"(?i)<(/?)([a-z][a-z0-9]*)\b[^<>]*?(/?)>|\\(begin|end)\{(\w+)")
@@ -307,7 +312,7 @@ def _sigmoid(x):
 class Labeller:
     """Bidirectional LSTM over block vectors: 8 role logits and 4 markup logits per block."""
 
-    def __init__(self, dims: int = DIMS, embed: int = 40, hidden: int = 24, seed: int = 11):
+    def __init__(self, dims: int = DIMS, embed: int = 48, hidden: int = 24, seed: int = 11):
         r = np.random.default_rng(seed)
         self.dims, self.hidden = dims, hidden
         g = lambda *s: (r.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
@@ -316,47 +321,60 @@ class Labeller:
             self.p |= {"W" + d: g(embed + hidden, 4 * hidden), "w" + d: np.zeros(4 * hidden, np.float32)}
             self.p["w" + d][hidden:2 * hidden] = 1
 
-    def _run(self, x: np.ndarray, on: np.ndarray, d: str):
-        p, h = self.p, self.hidden
-        n, t, _ = x.shape
-        hs, cs, steps = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
-        out = np.zeros((n, t, h), np.float32)
+    def _scan(self, e: np.ndarray, on: np.ndarray, d: str, kept: dict | None = None) -> np.ndarray:
+        """States of one direction; what the gradient needs goes to ``kept``."""
+        h = self.hidden
+        wx, wh = self.p["W" + d][:-h], self.p["W" + d][-h:]
+        a = e @ wx + self.p["w" + d]
+        n, t, _ = e.shape
+        hs, cs = np.zeros((n, h), a.dtype), np.zeros((n, h), a.dtype)
+        out = np.zeros((n, t, h), a.dtype)
+        if kept is not None:
+            kept.update(g=np.zeros((n, t, 3 * h), a.dtype), n=np.zeros((n, t, h), a.dtype), c=np.zeros((n, t, h), a.dtype), tc=np.zeros((n, t, h), a.dtype), h=np.zeros((n, t, h), a.dtype))
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = np.hstack([x[:, i], hs])
-            a = z @ p["W" + d] + p["w" + d]
-            gi, gf, go = (_sigmoid(a[:, k * h:(k + 1) * h]) for k in range(3))
-            gc = np.tanh(a[:, 3 * h:])
-            m = on[:, i, None]
-            c = m * (gf * cs + gi * gc)
+            z = a[:, i] + hs @ wh
+            g, new, m = _sigmoid(z[:, :3 * h]), np.tanh(z[:, 3 * h:]), on[:, i, None]
+            c = m * (g[:, h:2 * h] * cs + g[:, :h] * new)
             tc = np.tanh(c)
-            steps.append((i, z, gi, gf, go, gc, cs, tc, m))
-            hs, cs = m * go * tc, c
+            if kept is not None:
+                kept["g"][:, i], kept["n"][:, i], kept["c"][:, i], kept["tc"][:, i], kept["h"][:, i] = g, new, cs, tc, hs
+            hs, cs = m * g[:, 2 * h:] * tc, c
             out[:, i] = hs
-        return out, steps
+        return out
+
+    def embed(self, v: np.ndarray) -> np.ndarray:
+        return np.tanh(v @ self.p["E"] + self.p["e"])
+
+    def read(self, e: np.ndarray, on: np.ndarray, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, what they are read from) of embedded blocks."""
+        both = [self._scan(e, on, d, None if kept is None else kept.setdefault(d, {})) for d in "fb"]
+        u = np.concatenate([*both, e], 2)
+        return u @ self.p["O"] + self.p["o"], u
 
     def forward(self, v: np.ndarray, on: np.ndarray):
-        p = self.p
-        e = np.tanh(v @ p["E"] + p["e"])
-        f, fs = self._run(e, on, "f")
-        b, bs = self._run(e, on, "b")
-        u = np.concatenate([f, b, e], 2)
-        return u @ p["O"] + p["o"], (v, e, u, fs, bs)
-
-    def _back(self, d: str, steps, dh_all: np.ndarray, de: np.ndarray, grad: dict) -> None:
-        p, h = self.p, self.hidden
-        dh, dc = np.zeros_like(dh_all[:, 0]), np.zeros_like(dh_all[:, 0])
-        for i, z, gi, gf, go, gc, c0, tc, m in reversed(steps):
+        e, kept = self.embed(v), {}
+        y, u = self.read(e, on, kept)
+        return y, (v, e, u, kept, on)
+
+    def _back(self, d: str, k: dict, on: np.ndarray, e: np.ndarray, dh_all: np.ndarray, de: np.ndarray, grad: dict) -> None:
+        h = self.hidden
+        wx, wh = self.p["W" + d][:-h], self.p["W" + d][-h:]
+        n, t, _ = e.shape
+        dh, dc, da = np.zeros_like(dh_all[:, 0]), np.zeros_like(dh_all[:, 0]), np.zeros((n, t, 4 * h), dh_all.dtype)
+        for i in range(t - 1, -1, -1) if d == "f" else range(t):
+            m, new, tc = on[:, i, None], k["n"][:, i], k["tc"][:, i]
+            gi, gf, go = k["g"][:, i, :h], k["g"][:, i, h:2 * h], k["g"][:, i, 2 * h:]
             dh = (dh + dh_all[:, i]) * m
             dc = (dc + dh * go * (1 - tc * tc)) * m
-            da = np.hstack([dc * gc * gi * (1 - gi), dc * c0 * gf * (1 - gf), dh * tc * go * (1 - go), dc * gi * (1 - gc * gc)])
-            grad["W" + d] += z.T @ da
-            grad["w" + d] += da.sum(0)
-            dz = da @ p["W" + d].T
-            de[:, i] += dz[:, :-h]
-            dh, dc = dz[:, -h:], dc * gf
+            da[:, i] = np.hstack([dc * new * gi * (1 - gi), dc * k["c"][:, i] * gf * (1 - gf), dh * tc * go * (1 - go), dc * gi * (1 - new * new)])
+            dh, dc = da[:, i] @ wh.T, dc * gf
+        flat = da.reshape(-1, 4 * h)
+        grad["W" + d] = np.vstack([e.reshape(-1, e.shape[-1]).T @ flat, k["h"].reshape(-1, h).T @ flat])
+        grad["w" + d] = flat.sum(0)
+        de += da @ wx.T
 
     def step(self, v, on, roles, kinds, rate: float, state: dict) -> float:
-        y, (v, e, u, fs, bs) = self.forward(v, on)
+        y, (v, e, u, kept, _) = self.forward(v, on)
         n = max(1.0, on.sum())
         soft = np.exp(y[..., :8] - y[..., :8].max(-1, keepdims=True))
         soft /= soft.sum(-1, keepdims=True)
@@ -370,8 +388,8 @@ class Labeller:
         du = dy @ self.p["O"].T
         h = self.hidden
         de = du[..., 2 * h:].copy()
-        self._back("f", fs, du[..., :h], de, grad)
-        self._back("b", bs, du[..., h:2 * h], de, grad)
+        self._back("f", kept["f"], on, e, du[..., :h], de, grad)
+        self._back("b", kept["b"], on, e, du[..., h:2 * h], de, grad)
         da = de * (1 - e * e)
         grad["E"] = v.reshape(-1, v.shape[-1]).T @ da.reshape(-1, da.shape[-1])
         grad["e"] = da.sum((0, 1))
@@ -388,10 +406,11 @@ class Labeller:
         """(role of each block, probability of each kind) of each document; documents of like length run together."""
         out: list = [None] * len(docs)
         order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
+        embedded = np.split(self.embed(np.concatenate(docs)), np.cumsum([len(d) for d in docs])[:-1]) if docs else []
         for s in range(0, len(order), batch):
             own = order[s:s + batch]
-            v, on = pad([docs[i] for i in own], self.dims)
-            y, _ = self.forward(v, on)
+            e, on = pad([embedded[i] for i in own], self.p["E"].shape[1])
+            y, _ = self.read(e, on)
             for r, i in enumerate(own):
                 n = len(docs[i])
                 out[i] = y[r, :n, :8].argmax(-1), _sigmoid(y[r, :n, 8:])
@@ -420,7 +439,7 @@ def construct(r, kind: str) -> str:
     if kind == "html":
         t = _pick(r, *ELEMENTS.split())
         return _pick(
-            r, f"<{t}>{w()}</{t}>", f'<{t} class="{w()}">{w()}</{t}>', f"<{t} id={n}>", f"</{t}>", f"{w()}<br>{w()}", f"{w()}<br/>", f"<!-- {w()} -->", f"{w()}&nbsp;{w()}",
+            r, f"<{t}>{w()}</{t}>", f'<{t} class="{w()}">{w()}</{t}>', f"<{t} id={n}>", f"</{t}>", f"<{t}>", f"<{t}/>", "<br>", f"{w()}<br>{w()}", f"{w()}<br/>", f"<!-- {w()} -->", f"{w()}&nbsp;{w()}",
             f"{w()} &amp; {w()}", f"&lt;{w()}&gt;", f"&#{n + 160};", f"&#x{n + 160:x};", f'<a href="https://a.example/{n}">{w()}</a>', f"<img src={w()}.png alt=", f"<div style='{w()}'\n", f"<ul>\n<li>{w()}</li>\n</ul>",
             f"<p>{w()}", f"<b>{w()}", f"{w()}</b>", f"<table><tr><td>{w()}</td></tr></table>", f"<pre>{w()}</pre>", f"{w()}&mdash;{w()}", f"<td>{w()}", f"&copy; {w()}")
     if kind == "markdown":
@@ -481,10 +500,22 @@ def examples(texts: list[str], seed: int = 11):
         yield doc, roles_by_form(doc), [{kind} if a < hi and b > lo else set() for a, b in doc[4]]
 
 
+def drills(n: int, seed: int = 11):
+    """(leaves, roles, kinds of each block) of ``n`` short lines from the grammar, half with a construct and half with look-alikes."""
+    r = np.random.default_rng(seed)
+    for i in range(n):
+        t = " ".join(WORDS[j] for j in r.integers(len(WORDS), size=int(r.integers(2, 25)))).capitalize() + _pick(r, ".", "", "!")
+        kind = KINDS[i // 2 % 4] if i % 2 else ""
+        for _ in range(int(r.integers(0, 3))):
+            t = plant(t, r, lookalike(r))
+        doc = leaves(plant(t, r, construct(r, kind)) if kind else t)
+        yield doc, roles_by_form(doc), [{kind} if kind and len(doc[4]) == 1 else k for k in by_form(doc)]
+
+
 def train(texts: list[str], epochs: int = 9, most_blocks: int = 64, seed: int = 11) -> Labeller:
     """A labeller fitted on texts and what is planted in them, windows of ``most_blocks`` blocks at a time."""
     model, rows = Labeller(seed=seed), []
-    known = list(examples(texts, seed))
+    known = [*examples(texts, seed), *drills(2 * len(texts), seed)]
     for v, (_, roles, kinds) in zip(vectors([k[0] for k in known]), known):
         for s in range(0, len(v), most_blocks):
             rows.append((v[s:s + most_blocks], roles[s:s + most_blocks], kinds[s:s + most_blocks]))
@@ -504,7 +535,7 @@ def train(texts: list[str], epochs: int = 9, most_blocks: int = 64, seed: int =
     return model
 
 
-def fit(df: DataFrame, key: str, text: str, sample_rows: int = 1_500, longest: int = 20_000) -> Labeller:
+def fit(df: DataFrame, key: str, text: str, sample_rows: int = 2_000, longest: int = 20_000) -> Labeller:
     """Trains on at most ``sample_rows`` texts of at most ``longest`` characters, chosen by hashed id."""
     rows = (
         df.filter((F.length(text) > 0) & (F.length(text) <= longest)).select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -600,7 +631,7 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
 
 
-def markup_kinds(df: DataFrame, key: str, text: str, model: Labeller, named: float = 0.02) -> DataFrame:
+def markup_kinds(df: DataFrame, key: str, text: str, model: Labeller, named: float = 0.005) -> DataFrame:
     """(key, markup) for each kind of markup a text holds: named by the network in some block with a probability of ``named``, and there by its form."""
     return _texts(df, key, text).mapInPandas(partial(_label, model=model, named=named, cleaned=False), "key bigint, markup string").distinct()
 

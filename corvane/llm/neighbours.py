@@ -309,15 +309,24 @@ def _meet(batches: Iterator[pa.RecordBatch], degree: int, parts: int) -> Iterato
         yield _batch(id=pa.array(ids[told]), ids=_lists(none[:0], none, pa.int64()), sims=_lists(none[:0], none, pa.int16()), homes=_lists(none[:0], none, pa.int32()))
 
 
-def descend(graph: DataFrame, codes: DataFrame, degree: int, first: bool, parts: int = 24, most_guests: int = 200_000) -> DataFrame:
-    """One NN-descent round: links found, as (id, ids, sims, homes).
+def _behind():
+    """Homes of those a vector newly points at."""
+    return F.array_distinct(F.filter(F.transform(F.arrays_zip("homes", "news"), lambda x: F.when(x["news"], x["homes"])), lambda x: x.isNotNull()))
+
+
+def crowded(graph: DataFrame, most_guests: int = 200_000) -> dict[int, int]:
+    """By home: how many times it is held, for those with over ``most_guests`` who point into it; at most vectors * degree / most_guests homes."""
+    crowd = graph.select(F.explode(_behind()).alias("group")).groupBy("group").count().filter(F.col("count") > most_guests)
+    return {r.group: -(-r["count"] // most_guests) for r in crowd.collect()}
+
+
+def descend(graph: DataFrame, codes: DataFrame, rows: int, degree: int, first: bool, salts: dict[int, int], parts: int = 24) -> DataFrame:
+    """One NN-descent round over a graph of ``rows``: links found, as (id, ids, sims, homes).
 
     A vector goes to the home of every vector it newly points at, and to the homes of the live vectors that point at it.
-    A home with over ``most_guests`` who point into it is held several times over, each time with a part of them.
+    A home that ``salts`` names is held several times over, each time with a part of those who point into it.
     """
-    behind = F.array_distinct(F.filter(F.transform(F.arrays_zip("homes", "news"), lambda x: F.when(x["news"], x["homes"])), lambda x: x.isNotNull()))
-    crowd = graph.select(F.explode(behind).alias("group")).groupBy("group").count().filter(F.col("count") > most_guests)
-    salts = {r.group: -(-r["count"] // most_guests) for r in crowd.collect()}
+    behind = _behind()
     asked = graph.filter("live").select("home", F.explode(F.arrays_zip("ids", "homes")).alias("e"))
     if first:  # everybody is at home anyway
         asked = asked.filter("home <> e.homes")
@@ -338,7 +347,7 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int, first: bool, parts:
     sent = sent.select(F.explode(groups).alias("e"), *row).select("e.group", "e.all", *row)
     salt = F.when(F.col("all"), F.sequence(F.lit(0), many - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), many).cast("int"))) if salts else F.array(F.lit(0))
     sent = sent.select("group", F.explode(salt).alias("salt"), *row)
-    return _by_group(sent, ["group", "salt"], graph.count()).mapInArrow(partial(_meet, degree=degree, parts=parts), FOUND)
+    return _by_group(sent, ["group", "salt"], rows).mapInArrow(partial(_meet, degree=degree, parts=parts), FOUND)
 
 
 def _by_group(df: DataFrame, keys: list[str], rows: int, each: int = 8_192) -> DataFrame:
@@ -362,7 +371,9 @@ def knn_graph(
     spark = codes.sparkSession
     if n == 0:
         return spark.createDataFrame([], LISTS)
-    drawn = codes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).select("code").collect()
+    h = F.xxhash64("id", F.lit(seed))
+    share = min(1.0, 1.2 * sample_rows / n + 1e-6)  # so that no more than that is ever sent to be ordered
+    drawn = codes.filter(F.pmod(h, F.lit(10**9)) < int(share * 10**9)).orderBy(h, "id").limit(sample_rows).select("code").collect()
     q, s = _open(np.frombuffer(b"".join(bytes(r.code) for r in drawn), np.int8).reshape(len(drawn), dims + 4))
     sample = q.astype(np.float64) * s[:, None]
     most_depth = max(0, int(np.log2(max(1, len(drawn) / 10))))
@@ -377,8 +388,9 @@ def knn_graph(
     graph = written(flat.select("id", "home", _best(F.col("l"), degree).alias("b")).select(
         *lists, F.transform("b", lambda _: F.lit(True)).alias("news"), F.lit(True).alias("live")), "graph", "id", buckets)
     first = True
+    salts = crowded(graph)  # later rounds have fewer new links
     while True:
-        found = descend(graph, codes, degree, first).groupBy("id").agg(F.flatten(F.collect_list(_zip())).alias("more"))
+        found = descend(graph, codes, n, degree, first, salts).groupBy("id").agg(F.flatten(F.collect_list(_zip())).alias("more"))
         empty = F.array().cast("array<struct<sims:smallint,ids:bigint,homes:int>>")
         both = graph.select("id", "home", F.col("ids").alias("old"), _zip().alias("l")).join(found, "id", "left")
         both = both.select("id", "home", "old", F.col("more").isNotNull().alias("live"), F.when(F.col("more").isNull(), F.col("l")).otherwise(
@@ -414,7 +426,7 @@ def _exact(batches: Iterator[pa.RecordBatch], k: int, dims: int, least: float) -
         yield _batch(node=pa.array(ids[row[keep]]), to=pa.array(to[keep]), sim=pa.array(sim[keep]))
 
 
-def _exact_lists(graph: DataFrame, nodes: DataFrame, raw: DataFrame, dims: int, k: int, least: float | None, doubt: float) -> DataFrame:
+def _exact_lists(graph: DataFrame, count: int, nodes: DataFrame, raw: DataFrame, dims: int, k: int, least: float | None, doubt: float) -> DataFrame:
     """(node, to, sim): the k most similar of each list, compared in double precision; ``doubt`` covers the codes' error."""
     bar = F.coalesce(F.get("sims", F.lit(k - 1)), F.lit(-UNIT)) - int(doubt * UNIT)
     if least is not None:
@@ -429,7 +441,7 @@ def _exact_lists(graph: DataFrame, nodes: DataFrame, raw: DataFrame, dims: int,
         "id", F.col("v").alias("raw"), "group", F.coalesce("near", none).alias("near"),
         F.explode(F.array_distinct(F.concat(F.coalesce("groups", F.array().cast("array<int>")), F.when(F.col("group").isNull(), F.array().cast("array<int>")).otherwise(F.array("group"))))).alias("at"))
     sent = rows.select(F.col("at").alias("group"), "id", "raw", F.when(F.col("group") == F.col("at"), F.col("near")).otherwise(none).alias("near"))
-    return _by_group(sent, ["group"], graph.count()).mapInArrow(
+    return _by_group(sent, ["group"], count).mapInArrow(
         partial(_exact, k=k, dims=dims, least=-2.0 if least is None else least), "node bigint, to bigint, sim double")
 
 
@@ -460,7 +472,7 @@ def most_similar(
     nodes = written(every.join(copies.select("id"), "id", "left_anti").select("id", "h", "code"), "nodes", "id", _buckets(every))
     discard(every)
     graph = knn_graph(nodes.select("id", "code"), dims, **how)
-    best = written(_exact_lists(graph, nodes.select("id", "h"), _vectors(df, key, vector, dims, True), dims, k, least, doubt), "best")
+    best = written(_exact_lists(graph, nodes.count(), nodes.select("id", "h"), _vectors(df, key, vector, dims, True), dims, k, least, doubt), "best")
     # back to ids: the others of the own group come first, then the near groups' smallest ids
     spread = best.join(firsts.select(F.col("node").alias("to"), "firsts"), "to", "left").select(
         "node", F.explode(F.coalesce("firsts", F.array("to"))).alias("other"), "sim")
@@ -508,7 +520,8 @@ def greedy_search(
     ``entries`` nodes, a bounded set, and ends when no beam has anything left to expand: what falls out of a
     beam never comes back, so every walk ends.
     """
-    start = codes.orderBy(F.xxhash64("id"), "id").limit(entries).select("id", "code").collect()
+    share = min(1.0, 1.2 * entries / max(1, codes.count()) + 1e-6)
+    start = codes.filter(F.pmod(F.xxhash64("id"), F.lit(10**9)) < int(share * 10**9)).orderBy(F.xxhash64("id"), "id").limit(entries).select("id", "code").collect()
     if not start:
         return queries.select("q", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("float").alias("s")).limit(0)
     ids = np.array([r.id for r in start])

@@ -164,13 +164,75 @@ def test_neighbours_agree_with_brute_force(spark):
     true = np.argsort(-s, 1)[:, :5]
     df = vectors(spark, [(i * 20 if i < 30 else 10_000 + i, v.tolist()) for i, v in enumerate(x)])
     ids = np.array([i * 20 if i < 30 else 10_000 + i for i in range(600)])
-    got = neighbours.most_similar(df, "id", "embedding", 16, k=5, leaf=64, trees=3, rounds=3, degree=12).toPandas()
+    got = neighbours.most_similar(df, "id", "embedding", 16, k=5, cell_rows=64, home_rows=128, trees=3, degree=12).toPandas()
+    assert not got.duplicated(["id", "other"]).any()
     by = got.groupby("id").other.apply(set).to_dict()
     recall = np.mean([len(set(ids[true[i]]) & by[ids[i]]) / 5 for i in range(600)])
     assert recall >= 0.9
     assert np.allclose(got.sim, [s[np.flatnonzero(ids == a)[0], np.flatnonzero(ids == b)[0]] for a, b in zip(got.id, got.other)])
 
 
+def test_neighbours_dont_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 16))
+    x = (base[rng.integers(0, 60, 2_500)] + 0.4 * rng.normal(size=(2_500, 16))).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    seen = []
+    for parts in ("3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for how in ({"cell_rows": 100, "home_rows": 300}, {"cell_rows": 60, "home_rows": 60, "trees": 5, "degree": 8}):
+            got = neighbours.most_similar(df.repartition(int(parts)), "id", "embedding", 16, k=5, change=0.05, **how).toPandas()
+            assert not got.duplicated(["id", "other"]).any() and (got.groupby("id").size() == 5).all() and got.id.nunique() == 2_500
+            seen.append((parts, sorted(map(tuple, got[["id", "other"]].values.tolist()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0][1] == seen[2][1] and seen[1][1] == seen[3][1]
+    true = neighbours.exact_search(df, "id", "embedding", 16, "id % 20 = 0", k=5, block=50).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert all(set(true[true.q == i].id) == set(np.argsort(-s[i])[:5]) for i in range(0, 2_500, 20))
+    for _, lists in seen[:2]:
+        have = set(lists)
+        assert np.mean([(q, o) in have for q, o in zip(true.q, true.id)]) >= 0.9
+
+
+def test_popular_vectors_and_crowded_homes(spark, monkeypatch):
+    # many point at one; its meetings are held in parts, and homes several times over
+    monkeypatch.setattr(neighbours, "crowded", lambda graph: {r.home: 3 for r in graph.select("home").distinct().collect()})
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    x = np.concatenate([[centre], centre + rng.normal(size=(600, 16))]).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = neighbours.most_similar(df, "id", "embedding", 16, k=3, cell_rows=40, home_rows=80).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    by = got.groupby("id").other.apply(set)
+    assert np.mean([len(by[i] & set(np.argsort(-s[i])[:3])) / 3 for i in range(601)]) >= 0.9
+
+
+def test_large_groups_of_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HOT", 10)
+    e, f = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(i, e) for i in range(40)] + [(i, f) for i in range(50, 55)] + [(60, [1.0, 0.1, 0.0, 0.0])]
+    got = neighbours.most_similar(vectors(spark, rows), "id", "embedding", 4, k=3, least=0.5).toPandas().sort_values(["id", "rank"])
+    by = got.groupby("id").other.apply(list).to_dict()
+    assert by[0] == [1, 2, 3] and by[39] == [0, 1, 2] and by[2] == [0, 1, 3] and by[53] == [50, 51, 52] and by[60] == [0, 1, 2] and len(by) == 46
+
+
+def test_greedy_search_finds_itself_and_its_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(30, 16))[rng.integers(0, 30, 800)] + 0.5 * rng.normal(size=(800, 16))).astype(np.float32)
+    codes = neighbours.usable(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), "id", "embedding", 16).select("id", "code")
+    graph = neighbours.knn_graph(codes, 16, cell_rows=100, home_rows=200)
+    queries = codes.filter("id % 20 = 0").select(F.col("id").alias("q"), F.col("code").alias("qcode"))
+    got = neighbours.greedy_search(graph, codes, queries, 16, k=5, entries=64).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    assert set(got[got.s > 0.999].q) >= set(range(0, 800, 20))
+    assert np.mean([len(set(got[got.q == q].id) & set(np.argsort(-s[q])[:5])) / 5 for q in range(0, 800, 20)]) >= 0.9
+
+
 def test_neighbour_edges(spark):
     e = [1.0, 0.0, 0.0, 0.0]
     rows = [(i, e) for i in (9, 3, 7, 1, 5, 8, 2)] + [(3, e), (20, [2.0, 0.0, 0.0, 0.0]), (30, [1.0, 0.01, 0.0, 0.0]), (40, None), (41, []), (42, [0.0] * 4), (43, [float("nan"), 1.0, 1.0, 1.0]), (44, [float("inf"), 1.0, 1.0, 1.0]), (45, [1.0] * 5), (46, [None, 1.0, 1.0, 1.0])]

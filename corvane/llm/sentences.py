@@ -1,12 +1,20 @@
 """Sentence units of every document by a hidden-event language model.
 
 Between words a boundary token may have been said without being written. The
-model's n-grams are the word before a place where a unit may end, and the word after it, counted over
+model's n-grams are the words on the two sides of a gap, counted over
 the whole corpus: what stands at the ends and starts of paragraphs and list
-lines, where boundaries are certain, against what stands inside. Places that could
-hold a boundary are the marks that may end a sentence, with the quotes and
-brackets they close, and in Thai the spaces between letters; forward-backward over the
-places of a paragraph gives each boundary's posterior, which decides.
+lines, where boundaries are certain, against what stands inside. Forward-backward over the
+gaps of a paragraph gives each boundary's posterior, which decides.
+
+Every gap between words is a gap of the model. Three kinds differ in what they show:
+
+* Gaps with an end mark, with the quotes and brackets it closes: how far the word before the mark ends units is counted.
+* Spaces between Thai letters: the share of them that ends a unit is fitted by expectation maximisation to what follows
+  them, as a mixture of what starts paragraphs and what stands anywhere; the letters on both sides give the rest.
+* Bare gaps. Where a paragraph has end marks or Thai spaces, a boundary at a bare gap has a prior of ``BARE``, which the
+  words' evidence, at most ``MOST`` a side, can't make up for, so these gaps aren't walked. A paragraph without any mark, be it a comma or bracket, is walked gap by gap
+  (between all letters in scripts without spaces), with the corpus' share of boundaries as the prior and a
+  chain over the distance from the last boundary.
 
 Structure is certain beforehand: blank lines, headings, list lines and lines of code.
 
@@ -58,9 +66,15 @@ LIST_LINE = re.compile(r"\s*(?:[-*+•·–—‣◦]|\(?\d{1,3}[.)]|[a-z][.)])[
 WORD = re.compile(r"[^\W_]+(?:['’_.-][^\W_]+)*", re.U)
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[ \t 　]+(?=[ก-ฺเ-๎])")
 THAI = re.compile(r"[ก-ฺเ-๎]")
+THAI_RUN = re.compile(r"[ก-ฺเ-๎]{4,}")
+CJK_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{3,}")
+CHUNK = re.compile(r"\S+")
+ANY_MARK = re.compile("[,;:、，；：،؛\"“”„‘" + re.escape("".join(set(PAIRS) | set(PAIRS.values()))) + "]|[" + "".join(c for c in ENDERS if c not in DOTS) + r"]|[.․﹒．](?!\w)")
 BREAK = re.compile("\r\n|[\n\r\u0085\u2028\x0b\x0c]|\u2029")
 EXOTIC = re.compile("[\r\u0085\u2028\u2029\x0b\x0c]")
-COUNTS = ("start", "mid", "end", "inner", "right")
+COUNTS = ("start", "mid", "end", "inner", "right", "last", "any")
+BARE, MOST = -12.0, 4.0  # log-odds
+NEAR = (-5.0, -3.0, -1.5, 0.0)  # log-odds of a boundary so many words after another one
 HIDDEN = {"Cc", "Cf", "Zs", "Zl", "Zp"}
 
 
@@ -142,7 +156,7 @@ def right_token(text: str, at: int, end: int) -> tuple[str, str]:
     if kind == "cjk":
         return text[at:min(at + 2, end)], kind
     if kind == "thai":
-        return text[at:min(at + 4, end)], kind
+        return text[at:min(at + 3, end)], kind
     m = WORD.match(text, at, min(end, at + 40))
     if not m:
         # an opening mark says what its first word says about case
@@ -285,11 +299,46 @@ def places(text: str, a: int, b: int) -> tuple[list[Place], tuple[str, str] | No
     for m in THAI_GAP.finditer(text, a, b) if THAI.search(text, a, b) else ():
         k = bisect_right(starts, m.start()) - 1
         if not (k >= 0 and outer[k][0] < m.start() < outer[k][1]):
-            out.append(Place(m.start(), m.end(), ("thai", "thai"), right_token(text, m.end(), b), -1, True, True))
+            out.append(Place(m.start(), m.end(), last_token(text, a, m.start()), right_token(text, m.end(), b), -1, True, True))
     out.sort(key=lambda p: p.end)
     return out, last
 
 
+class Gap:
+    """A bare gap: where the text before it ends, where it goes on, and the tokens on both sides."""
+
+    __slots__ = ("end", "next", "left", "right")
+
+    def __init__(self, end, nxt, left, right):
+        self.end, self.next, self.left, self.right = end, nxt, left, right
+
+
+def last_token(text: str, lo: int, at: int) -> tuple[str, str]:
+    """(token, class) of the word that ends at a place."""
+    kind = SCRIPT[text[at - 1]]
+    if kind in ("cjk", "thai"):
+        return text[max(lo, at - (2 if kind == "cjk" else 3)):at], kind
+    part = text[max(lo, at - 40):at].split()
+    return right_token(part[-1], 0, len(part[-1])) if part else ("", "mark")
+
+
+def gaps(text: str, a: int, b: int) -> list[Gap]:
+    """The gaps of text[a:b]: white space, and places between letters of scripts without spaces."""
+    out = []
+    for m in CHUNK.finditer(text, a, b):
+        s, e = m.span()
+        if s > a:
+            left = s
+            while not VISIBLE[text[left - 1]]:
+                left -= 1
+            out.append(Gap(left, s, last_token(text, a, left), right_token(text, s, b)))
+        if e - s > 1 and SCRIPT[text[s]] == "cjk":
+            for i in range(s + 1, e):
+                if SCRIPT[text[i]] == "cjk" and SCRIPT[text[i - 1]] == "cjk":
+                    out.append(Gap(i, i, last_token(text, s, i), right_token(text, i, b)))
+    return out
+
+
 def is_heading(text: str, run: list[tuple[int, int]]) -> bool:
     """A paragraph of one line that is marked as a heading, or short and without an end mark."""
     if len(run) != 1:
@@ -327,8 +376,13 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """n-gram counts of the places whose boundary is certain or impossible: (what, token, class, n)."""
     counts: Counter = Counter()
     inner: Counter = Counter()  # words inside units as they stand; read as tokens once each
+    grams: dict = {"thai": Counter(), "cjk": Counter()}  # letters anywhere inside runs without spaces
 
     def flush():
+        for script, own in grams.items():
+            for w, n in own.items():
+                counts["any", w, script] += n
+            own.clear()
         for w, n in inner.items():
             counts["mid", *right_token(w, 0, len(w))] += n
         inner.clear()
@@ -354,14 +408,26 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if last:
                     counts["start", *right_token(text, a, b)] += 1
                     counts["end", *last] += 1
+                    n = b
+                    while n > a and (not VISIBLE[text[n - 1]] or text[n - 1] in AFTER):
+                        n -= 1
+                    if n > a:
+                        counts["last", *last_token(text, a, n)] += 1
+                elif not whole and SCRIPT[text[a]] == "thai" == SCRIPT[text[b - 1]]:
+                    counts["start", *right_token(text, a, b)] += 1
+                    counts["last", *last_token(text, a, b)] += 1
+                for run, width, script in ((THAI_RUN, 3, "thai"), (CJK_RUN, 2, "cjk")):
+                    for r in run.findall(text, a, b) if (THAI if script == "thai" else run).search(text, a, b) else ():
+                        grams[script].update([r[i:i + width] for i in range(1, len(r) - width + 1)])
                 for p in here:
-                    counts["inner", *p.left] += 1
+                    if not p.thai:
+                        counts["inner", *p.left] += 1
                     counts["right", *p.right] += 1
                 words = text[a:b].split()
                 # a word after an end mark or a closing mark may begin a unit; the others stand inside one
                 inner.update([w[:24] for v, w in zip(words, words[1:]) if v[-1] not in AFTER])
                 inner.update(INNER_CJK.findall(text, a, b))
-        if len(counts) + len(inner) > 200_000:
+        if len(counts) + len(inner) + sum(map(len, grams.values())) > 200_000:
             yield flush()
     yield flush()
 
@@ -382,10 +448,42 @@ class Model:
         # share of all boundaries that end a paragraph, from the marks that always end a unit
         e, i = self.of["end"]["strong"], self.of["inner"]["strong"]
         self.share = min(0.95, max(0.05, (e + 1) / (e + i + 4)))
+        words = sum(self.of["mid"].values()) + sum(self.of["right"].values())
+        bounds = sum(self.of["start"].values()) + sum(self.of["inner"].values())
+        p = min(0.3, max(0.02, (bounds + 5) / (words + bounds + 60)))
+        self.bare = math.log(p / (1 - p))
+        self.spaced = self._mixture("thai")
+
+    def _mixture(self, kind: str) -> float:
+        """Log-odds that a space between letters of a script without other spaces ends a unit, by expectation maximisation."""
+        seen = [(n, *self._two(t, kind, "start", "any")) for t, n in self.by["right"].items() if t and SCRIPT[t[0]] == kind]
+        share = 0.9
+        for _ in range(30):
+            share = (sum(n * share * s / (share * s + (1 - share) * m) for n, s, m in seen) + 9) / (sum(n for n, _, _ in seen) + 10)
+        share = min(share, 0.9995)
+        return math.log(share / (1 - share))
+
+    def _two(self, token: str, kind: str, a: str, b: str) -> tuple[float, float]:
+        """Probabilities of a token under two of the counts, backed off to the same spread over its class."""
+        p = []
+        for what in (a, b):
+            total = self.of[what][kind]
+            p.append((self.by[what][token] + 0.5) / (total + 0.5 * 400))
+        return p[0], p[1]
+
+    def side(self, token: tuple[str, str], at: str) -> float:
+        """Log-odds of a boundary from the word on one side of a gap; ``at``: start or last."""
+        kind = token[1]
+        p, q = self._two(token[0], kind, at, "any" if kind in ("cjk", "thai") else "mid")
+        return max(-MOST, min(MOST, math.log(p / q)))
+
+    def start_side(self, token: str, kind: str) -> float:
+        return self.side((token, kind), "start")
+
+    def last_side(self, token: str, kind: str) -> float:
+        return self.side((token, kind), "last")
 
     def left(self, token: str, kind: str) -> float:
-        if kind == "thai":
-            return 8.0
         ends, inner = self.by["end"][token], self.by["inner"][token]
         prior = {"strong": 0.97, "dots": 0.8, "number.": 0.3, "letter.": 0.03, "short.": 0.5}.get(kind, 0.93)
         weight = 2.0
@@ -418,10 +516,12 @@ class Model:
 
     def evidence(self, text: str, a: int, p: Place, prev: int) -> float:
         """Log-odds that a unit ends at a place; ``prev`` is where the possible unit before it ended."""
+        if p.thai:
+            return self.spaced + self.cached(self.start_side, "s", p.right) + self.cached(self.last_side, "e", p.left)
         x = self.cached(self.left, "l", p.left)
         if p.opened >= 0:
             x = min(x, 2.0)  # a mark inside what closes here ends less than one in the open
-        x += 0.0 if p.thai else self.cached(self.right, "r", p.right)
+        x += self.cached(self.right, "r", p.right)
         if p.opened >= 0:
             before = p.opened
             while before > a and not VISIBLE[text[before - 1]]:
@@ -432,7 +532,7 @@ class Model:
                 x += -9.0 if initial else 0.5
             elif initial:
                 x += 4.0
-        if p.right[1] == "lower" and not p.thai:
+        if p.right[1] == "lower":
             x -= 3.0
         return x
 
@@ -457,6 +557,43 @@ def posteriors(odds: list[float], close: list[bool]) -> list[float]:
     return list(1 / (1 + np.exp(np.clip(s[:, 0] - s[:, 1], -60, 60))))
 
 
+def chain(odds: list[float], near: tuple[float, ...] = NEAR) -> list[float]:
+    """Forward-backward over bare gaps: posterior of a boundary at each, where ``near`` weighs one so many gaps after another."""
+    n, k = len(odds), len(near)
+    x = np.clip(odds, -30, 30)
+    pen = np.array(near)
+    f, g = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k))
+    f[0, 0] = 0.0  # the paragraph's start is a boundary
+    nxt = np.minimum(np.arange(k) + 1, k - 1)
+    for i in range(n):
+        f[i + 1, 0] = np.logaddexp.reduce(f[i] + x[i] + pen)
+        for d in range(k):
+            f[i + 1, nxt[d]] = np.logaddexp(f[i + 1, nxt[d]], f[i, d])
+    for i in range(n - 1, -1, -1):
+        g[i] = np.logaddexp(x[i] + pen + g[i + 1, 0], g[i + 1, nxt])
+    total = np.logaddexp.reduce(f[n])
+    return [float(np.exp(np.logaddexp.reduce(f[i] + x[i] + pen) + g[i + 1, 0] - total)) for i in range(n)]
+
+
+def unmarked(text: str, a: int, b: int) -> bool:
+    """Whether a paragraph shows no mark at all; in Thai, the spaces are the marks."""
+    return not (ANY_MARK.search(text, a, b) or THAI.search(text, a, b))
+
+
+def bare_units(text: str, a: int, b: int, model: Model, threshold: float) -> list[tuple[int, int]]:
+    """Units of a paragraph without marks."""
+    here = gaps(text, a, b)
+    if not here:
+        return [(a, b)]
+    odds = [model.bare + model.cached(model.start_side, "s", g.right) + model.cached(model.last_side, "e", g.left) for g in here]
+    out, at = [], a
+    for g, y in zip(here, chain(odds)):
+        if y >= threshold:
+            out.append((at, g.end))
+            at = g.next
+    return [*out, (at, b)]
+
+
 def units(text: str, code: bool, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
     """(start, end) of every unit of a text."""
     out = []
@@ -468,9 +605,9 @@ def units(text: str, code: bool, model: Model, threshold: float = 0.5) -> list[t
             out.append(t)
             continue
         a, b = t
-        here, _ = places(text, a, b)
+        here, last = places(text, a, b)
         if not here:
-            out.append(t)
+            out += bare_units(text, a, b, model, threshold) if not last and unmarked(text, a, b) else [t]
             continue
         ends = [a, *(p.end for p in here)]
         odds = [model.evidence(text, a, p, ends[i]) for i, p in enumerate(here)]
@@ -513,15 +650,17 @@ def _unnamed(frames: Iterator[pd.DataFrame], named: dict[str, set[str]]) -> Iter
         for digest, text, kind in zip(f["digest"], f["text"], f["kind"]):
             for a, b, whole in blocks(text, kind == "code"):
                 t = None if whole else trim(text, a, b)
-                for p in places(text, *t)[0] if t else ():
-                    rows |= {(digest, side, token) for side, (token, _) in (("l", p.left), ("r", p.right)) if token not in named[side]}
+                here, last = places(text, *t) if t else ((), None)
+                bare = gaps(text, *t) if t and not here and not last and unmarked(text, *t) else ()
+                sides = [x for p in here for x in (("r" if p.thai else "l", p.left[0]), ("r", p.right[0]))] + [("r", x[0]) for g in bare for x in (g.left, g.right)]
+                rows |= {(digest, side, token) for side, token in sides if token not in named[side]}
         yield pd.DataFrame(list(rows), columns=["digest", "side", "token"])
 
 
 def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[Model, DataFrame | None]:
     """Counts the n-grams of all texts: (model, rare).
 
-    Only tokens at places are ever looked up. The ``vocabulary`` most frequent of each side are in the model by name, with
+    The ``vocabulary`` most frequent tokens of each side are in the model by name, with
     whole counts; if there are more, ``rare`` has the counts of the others (side, token, and a column for each count).
     """
     counts = written(
@@ -531,7 +670,9 @@ def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[
     rows = [(r.what, "", r.kind, r.n) for r in counts.groupBy("what", "kind").agg(F.sum("n").alias("n")).collect()]
     side = F.when(F.col("what").isin("end", "inner"), "l").otherwise("r").alias("side")
     tokens = counts.groupBy(side, "token").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in COUNTS])
-    tokens = written(tokens.withColumn("n", F.when(F.col("side") == "l", F.col("inner")).otherwise(F.col("right"))).filter("n > 0"), "tokens")
+    # letters that never start, end or follow anything stand for themselves nowhere
+    n = F.when(F.col("side") == "l", F.col("inner")).otherwise(F.col("right") + F.col("start") + F.col("last") + F.col("mid"))
+    tokens = written(tokens.withColumn("n", n).filter("n > 0"), "tokens")
     named, more = {}, False
     for s in "lr":
         top = tokens.filter(F.col("side") == s).orderBy(F.desc("n"), "token").limit(vocabulary + 1).collect()
@@ -554,7 +695,7 @@ def sentence_units(df: DataFrame, key: str, text: str, kind: str, vocabulary: in
         rows = rows.withColumn("rare", F.lit(None).cast("string"))
     else:
         # the counts of a text's rare tokens come to it by a join; equal texts have the same ones
-        named = {"l": set(model.by["inner"]), "r": set(model.by["right"])}
+        named = {"l": set(model.by["inner"]), "r": set().union(*(model.by[w] for w in ("right", "start", "last", "mid")))}
         rows = rows.withColumn("digest", F.sha2("text", 256))
         found = rows.select("digest", "text", "kind").mapInPandas(partial(_unnamed, named=named), "digest string, side string, token string").distinct()
         own = found.join(rare, ["side", "token"]).groupBy("digest").agg(F.collect_list(F.struct("token", *COUNTS)).alias("rare"))

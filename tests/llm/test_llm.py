@@ -405,6 +405,71 @@ def test_units(text, want):
     assert [text[a:b] for a, b in got] == want
 
 
+def trained(paragraphs):
+    import pandas as pd
+
+    c = pd.concat(sentences._count(iter([pd.DataFrame({"text": paragraphs, "kind": ["note"] * len(paragraphs)})])))
+    rows = list(c.itertuples(index=False, name=None))
+    return sentences.Model(rows)
+
+
+SPOKEN = {
+    "words": (["The keeper", "Our neighbour", "A pilot", "Nobody", "Every clerk"], ["counts", "hides", "moves", "reads"], ["the lamps near the harbour", "old maps of the valley", "seven letters before noon", "wet stones by the river"], " ", ". ", "."),
+    "letters": (["猫は", "校長は", "隣人は", "漁師は"], ["古い地図を", "七通の手紙を", "濡れた石を", "港の灯を"], ["数える", "隠した", "運んだ", "読んでいる"], "", "。", "。"),
+}
+
+
+@pytest.mark.parametrize("script", sorted(SPOKEN))
+def test_boundaries_without_marks(script):
+    a, b, c, glue, stop, end = SPOKEN[script]
+    r = random.Random(4)
+    say = lambda: glue.join([r.choice(a), r.choice(b), r.choice(c)])
+    model = trained([stop.join(say() for _ in range(r.randrange(1, 4))) + end for _ in range(400)])
+    right = said = true = 0
+    for _ in range(60):
+        own = [say() for _ in range(6)]
+        text = glue.join(own)
+        ends, at = set(), 0
+        for s in own:
+            at = text.index(s, at) + len(s)
+            ends.add(at)
+        got = {e for _, e in sentences.units(text, False, model)}
+        right, said, true = right + len(got & ends), said + len(got), true + len(ends)
+    assert right / said > 0.9 and right / true > 0.9
+
+
+def test_chain_agrees_with_enumeration():
+    import itertools
+    import math
+
+    odds, near = [0.5, -1.0, 1.2, 0.1, -0.4], (-2.0, -0.7, 0.0)
+    weight = {}
+    for y in itertools.product((0, 1), repeat=5):
+        w, since = 0.0, 0
+        for o, v in zip(odds, y):
+            if v:
+                w += o + near[min(since, 2)]
+                since = 0
+            else:
+                since += 1
+        weight[y] = math.exp(w)
+    z = sum(weight.values())
+    assert sentences.chain(odds, near) == pytest.approx([sum(w for y, w in weight.items() if y[i]) / z for i in range(5)])
+
+
+def test_spaces_of_thai_are_weighed_by_what_follows():
+    r = random.Random(6)
+    word = ["ห้องว่าง", "ดัชนีเก่า", "คลังความรู้", "บันทึกยาว"]
+    tail = ["นับคำค้น", "ซ่อนป้ายใหม่", "เติมตาราง"]
+    say = lambda: r.choice(word) + r.choice(tail)
+    sentence_like = trained([" ".join(say() for _ in range(r.randrange(1, 4))) for _ in range(300)])
+    # where spaces stand before what never starts a paragraph, they say less
+    inner = trained([say() + r.choice(tail) + " " + r.choice(tail) + say() for _ in range(300)])
+    assert sentence_like.spaced > 4 > 0 > inner.spaced
+    assert len(sentences.units(" ".join(say() for _ in range(4)), False, sentence_like)) == 4
+    assert len(sentences.units("ห้องว่างนับคำค้น ซ่อนป้ายใหม่", False, inner)) == 1
+
+
 def test_code_goes_by_line():
     text = "a. B\n\n  c = 1\n"
     assert [text[a:b] for a, b in sentences.units(text, True, toy())] == ["a. B", "c = 1"]

@@ -516,9 +516,11 @@ def train(texts: list[str], epochs: int = 9, most_blocks: int = 64, seed: int =
     """A labeller fitted on texts and what is planted in them, windows of ``most_blocks`` blocks at a time."""
     model, rows = Labeller(seed=seed), []
     known = [*examples(texts, seed), *drills(2 * len(texts), seed)]
-    for v, (_, roles, kinds) in zip(vectors([k[0] for k in known]), known):
-        for s in range(0, len(v), most_blocks):
-            rows.append((v[s:s + most_blocks], roles[s:s + most_blocks], kinds[s:s + most_blocks]))
+    for at in range(0, len(known), 256):  # a few at a time, and kept short, for the driver's memory
+        for v, (_, roles, kinds) in zip(vectors([k[0] for k in known[at:at + 256]]), known[at:at + 256]):
+            v = v.astype(np.float16)
+            for s in range(0, len(v), most_blocks):
+                rows.append((v[s:s + most_blocks], roles[s:s + most_blocks], kinds[s:s + most_blocks]))
     rng, state = np.random.default_rng(seed), {}
     rows.sort(key=lambda r: len(r[0]))
     for epoch in range(epochs):

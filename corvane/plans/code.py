@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.operators import code as C
@@ -145,67 +146,26 @@ def catalog_projects(t):
     return a.groupBy("project").agg(F.count("*").alias("files"), F.count_if(F.col("ext").isin("py", "rs", "sql", "sh")).alias("code_files"))
 
 
-@query("""with d as (select table_name, column_name, data_type from (values ('orders','o_custkey','bigint'),('lineitem','l_orderkey','bigint'),('lineitem','l_partkey','bigint'),('supplier','s_nationkey','int'),('customer','c_nationkey','int')) v(table_name, column_name, data_type)),
-k as (select * from (values ('customer','custkey','bigint'),('orders','orderkey','bigint'),('part','partkey','bigint'),('nation','nationkey','int')) v(target, stem, data_type))
-select table_name, column_name, target from d join k on k.stem = substr(column_name, instr(column_name, '_') + 1) and k.data_type = d.data_type""")
-def inferred_foreign_keys(t):
-    """Columns whose stem names the unique key of one other table of the same type."""
-    s = t("region").sparkSession
-    cols, keys = [], []
-    for name in ("orders", "lineitem", "supplier", "customer"):
-        cols += [(name, c, k) for c, k in t(name).dtypes if c in ("o_custkey", "l_orderkey", "l_partkey", "s_nationkey", "c_nationkey")]
-    for name, c in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("nation", "n_nationkey")):
-        keys.append((name, c.split("_", 1)[1], dict(t(name).dtypes)[c]))
-    d = s.createDataFrame(cols, "table_name string, column_name string, data_type string")
-    k = s.createDataFrame(keys, "target string, stem string, data_type string")
-    return d.withColumn("stem", F.expr("substr(column_name, instr(column_name, '_') + 1)")).join(k, ["stem", "data_type"]).select("table_name", "column_name", "target")
-
-
-@query("""with o as (select o_orderkey, o_orderstatus, o_totalprice from orders) select o_orderstatus, case when o_totalprice is null then 'null' when o_totalprice < 0 then 'check' else 'ok' end as verdict, count(*) as n from o group by 1, 2""")
-def write_check(t):
-    """Rows of an insert plan against the column rules they must meet."""
-    p = F.col("o_totalprice")
-    return t("orders").groupBy("o_orderstatus", F.when(p.isNull(), "null").when(p < 0, "check").otherwise("ok").alias("verdict")).agg(F.count("*").alias("n"))
-
-
-@query("""with a as (select document_id, max(content_hash) as h, count(*) as c from code_index_revision_files where index_revision = 48 and document_id is not null group by 1),
-b as (select document_id, max(content_hash) as h from code_index_revision_files where index_revision = 49 and document_id is not null group by 1)
-select case when a.document_id is null then 'added' when b.document_id is null then 'removed' when a.h is distinct from b.h then 'changed' else 'same' end as change, count(*) as n from a full join b on a.document_id = b.document_id group by 1""")
-def revision_diff(t):
-    side = lambda r, n: t("code_index_revision_files").filter((F.col("index_revision") == r) & F.col("document_id").isNotNull()).groupBy("document_id").agg(F.max("content_hash").alias(n), F.lit(True).alias(f"has_{n}"))
-    j = side(48, "a").join(side(49, "b"), "document_id", "full")
-    change = F.when(F.col("has_a").isNull(), "added").when(F.col("has_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed").otherwise("same")
-    return j.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
-
-
-
-
 @query()
 def python_facts(t):
     """Classes, functions and calls of the Python sources, by their syntax tree."""
     return C.python_facts(blobs(t))
 
 
-@query()
-def python_inheritance(t):
-    return C.inheritance(blobs(t))
-
-
-@query()
-def route_registrations(t):
-    return C.routes(blobs(t))
-
-
-@query()
-def client_calls(t):
-    return C.client_endpoints(blobs(t))
-
-
-@query()
-def translation_uses(t):
-    return C.translation_keys(blobs(t))
-
-
-@query()
-def infrastructure_services(t):
-    return C.services(blobs(t))
+@query("""with r as (select rev_id, lead(rev_id) over (order by rev_id) as next from (select distinct rev_id from code_index_revisions)),
+f as (select index_revision, document_id, arg_max(content_hash, coalesce(document_revision, -1)) as h, count(*) as c from code_index_revision_files where document_id is not null group by all),
+a as (select next as rev, document_id, h from f join r on rev_id = index_revision where next is not null), b as (select index_revision as rev, document_id, h from f where index_revision in (select next from r))
+select coalesce(a.rev, b.rev) as index_revision, case when a.document_id is null then 'added' when b.document_id is null then 'removed' when a.h is distinct from b.h then 'changed' else 'same' end as change, count(*) as n
+from a full join b on a.rev = b.rev and a.document_id = b.document_id group by 1, 2""")
+def revision_diff(t):
+    """Files added, removed, changed in content and kept at every published revision; of several rows of a file the highest document revision's."""
+    r = t("code_index_revisions").select("rev_id").distinct()
+    order = r.select(F.sort_array(F.collect_set("rev_id").over(W.partitionBy())).alias("all"), "rev_id").select("rev_id", F.expr("get(all, int(array_position(all, rev_id)))").alias("next"))  # a handful of revisions
+    f = t("code_index_revision_files").filter("document_id is not null").groupBy(F.col("index_revision").alias("rev_id"), "document_id").agg(
+        F.max_by("content_hash", F.coalesce("document_revision", F.lit(-1))).alias("h")).join(F.broadcast(order), "rev_id")
+    a = f.filter("next is not null").select(F.col("next").alias("rev"), "document_id", F.col("h").alias("a"), F.lit(True).alias("has_a"))
+    first = order.agg(F.min("rev_id").alias("m"))
+    b = f.join(F.broadcast(first), f.rev_id > F.col("m")).select(F.col("rev_id").alias("rev"), "document_id", F.col("h").alias("b"), F.lit(True).alias("has_b"))
+    j = a.join(b, ["rev", "document_id"], "full")
+    change = F.when(F.col("has_a").isNull(), "added").when(F.col("has_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed").otherwise("same")
+    return j.groupBy(F.col("rev").alias("index_revision"), change.alias("change")).agg(F.count("*").alias("n"))

@@ -198,17 +198,3 @@ s as (select name, count(distinct canonical_path) as readers from u where name l
 def table_impact(t):
     """Readers of each log table."""
     return C.table_reads(PC.blobs(t)).filter(F.col("table_name").endswith("_log")).groupBy("table_name").agg(F.countDistinct("canonical_path").alias("readers"))
-
-
-@query("""with o as (select o_custkey as subject, o_orderdate::date as day, count(*) as orders, sum(o_totalprice) as total from orders group by 1, 2)
-select subject, count(*) as days, sum(orders)::bigint as orders, round(max(total), 2) as best_day from o group by 1 having sum(orders) > 15""")
-def activity_rollup(t):
-    days = t("orders").groupBy(F.col("o_custkey").alias("subject"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"))
-    return days.groupBy("subject").agg(F.count("*").alias("days"), F.sum("orders").alias("orders"), F.round(F.max("total"), 2).alias("best_day")).filter("orders > 15")
-
-
-@query("select table_name, column_name, type from (values ('nation','n_nationkey','int'),('nation','n_name','string'),('nation','n_regionkey','int'),('region','r_regionkey','int'),('region','r_name','string')) v(table_name, column_name, type)")
-def catalog_capture(t):
-    """Columns and types of tables as data."""
-    s = t("nation").sparkSession
-    return s.createDataFrame([(n, c, k) for n in ("nation", "region") for c, k in t(n).dtypes], "table_name string, column_name string, type string")

@@ -1,8 +1,4 @@
-"""Object-graph and dependency-graph queries.
-
-The dependency graph is built from ``part``: this is the test data's stand-in
-for symbols; an edge leads from a part to what it depends on.
-"""
+"""Object-graph queries: what documents link to and are tagged with."""
 
 from __future__ import annotations
 
@@ -21,8 +17,6 @@ LINKS = rf"""l as (select key, i - 1 as ordinal, trim(regexp_replace(lower(t), '
 TAGS = rf"""g as (select distinct key, tag from (select doc_id as key, lower(unnest(regexp_extract_all({BARE}, '(?:^|[^0-9A-Za-z_#&/])#([A-Za-z][0-9A-Za-z_-]*)', 1))) as tag from documents where contains(text, '#'))
  where not regexp_matches(tag, '^[0-9]+$') and not regexp_matches(tag, '^(?:[0-9a-f]{{3}}|[0-9a-f]{{4}}|[0-9a-f]{{6}}|[0-9a-f]{{8}})$'))"""
 NET = f"{LINKS}, {TAGS}, e as (select distinct 'd' || key as src, 'w:' || target as dst from l union select 'd' || key, 't:' || tag from g), u as (select src, dst from e union select dst, src from e)"
-DEPS = """e as (select p_partkey as src, p_partkey // 3 as dst, case p_size % 3 when 0 then 'calls' when 1 then 'imports' else 'overrides' end as rel from part where p_partkey >= 3
- union select p_partkey, (p_partkey * 7) % 997 + 1, 'calls' from part where p_size % 5 = 0)"""
 
 
 def links(t):
@@ -40,15 +34,6 @@ def net(t):
     return a.unionByName(b).distinct()
 
 
-def deps(t):
-    """Dependency edges (src, dst, rel)."""
-    p = t("part").select("p_partkey", "p_size")
-    kind = F.when(F.col("p_size") % 3 == 0, "calls").when(F.col("p_size") % 3 == 1, "imports").otherwise("overrides")
-    tree = p.filter("p_partkey >= 3").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).cast("long").alias("dst"), kind.alias("rel"))
-    extra = p.filter("p_size % 5 = 0").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7) % 997 + 1).alias("dst"), F.lit("calls").alias("rel"))
-    return tree.unionByName(extra).distinct()
-
-
 @query(f"with {LINKS} select key as doc_id, ordinal, target from l")
 def wikilinks(t):
     return links(t).select(F.col("key").alias("doc_id"), "ordinal", "target")
@@ -133,76 +118,6 @@ def connected_components(t):
     return G.components(net(t))
 
 
-@query()
-def repo_map_rank(t):
-    """Ranks of the dependency graph's nodes after 24 rounds."""
-    return G.pagerank(deps(t)).select("node", F.round("rank", 9).alias("rank"))
-
-
-@query(f"with recursive {DEPS}, r(node, depth) as (select 1::bigint, 0 union select e.src, r.depth + 1 from r join e on e.dst = r.node where r.depth < 5) select node, min(depth) as depth from r group by 1")
-def impact_closure(t):
-    """What depends on node 1, directly or through others, with the least depth."""
-    d = deps(t)
-    back = d.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    return G.reach(back, d.sparkSession.range(1).select(F.lit(1).cast("long").alias("node")), 5)
-
-
-@query(f"with recursive {DEPS}, r(node, depth) as (select 1500::bigint, 0 union select e.dst, r.depth + 1 from r join e on e.src = r.node and e.rel = 'calls' where r.depth < 8) select node, min(depth) as depth from r group by 1")
-def dependency_closure(t):
-    d = deps(t).filter("rel = 'calls'")
-    return G.reach(d, d.sparkSession.range(1).select(F.lit(1500).cast("long").alias("node")), 8)
-
-
-@query(f"with recursive {DEPS}, x as (select distinct src, dst from e), r(path) as (select [100::bigint] union all select list_append(path, dst) from r join x on src = path[-1] and not list_contains(path, dst) where len(path) <= 4) select array_to_string(path, '>') as path from r where len(path) > 1")
-def trace_paths(t):
-    return G.simple_paths(deps(t), 100, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
-
-
-@query(f"""with recursive {DEPS}, roots as (select p_partkey as node from part where p_size % 7 = 0), r(node) as (select node from roots union select e.dst from r join e on e.src = r.node)
-select p_partkey as node from part where p_partkey not in (select node from r)""")
-def dead_code(t):
-    """Nodes no entry point reaches."""
-    roots = t("part").filter("p_size % 7 = 0").select(F.col("p_partkey").alias("node"))
-    alive = G.reach(deps(t).select("src", "dst").distinct(), roots, None)
-    return t("part").select(F.col("p_partkey").alias("node")).join(alive, "node", "left_anti")
-
-
-@query(f"with {DEPS} select p_partkey as node from part where p_partkey not in (select dst from e)")
-def dead_files(t):
-    return t("part").select(F.col("p_partkey").alias("node")).join(deps(t).select(F.col("dst").alias("node")), "node", "left_anti")
-
-
-@query(f"""with recursive {DEPS}, r(node, depth) as (select 5::bigint, 0 union select e.src, r.depth + 1 from r join e on e.dst = r.node where r.depth < 6)
-select node, min(depth) as depth from r join part on p_partkey = node where p_type like '%STEEL%' or p_size % 11 = 0 group by 1""")
-def affected_tests(t):
-    """Of what depends on node 5 the members that are tests (the stand-in: some parts)."""
-    d = deps(t)
-    back = d.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    hit = G.reach(back, d.sparkSession.range(1).select(F.lit(5).cast("long").alias("node")), 6)
-    tests = t("part").filter("p_type like '%STEEL%' or p_size % 11 = 0").select(F.col("p_partkey").alias("node"))
-    return hit.join(tests, "node", "left_semi")
-
-
-@query(f"with {DEPS} select rel, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1")
-def edge_union_stats(t):
-    return deps(t).groupBy("rel").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
-
-
-@query("""with recursive e as (select p_partkey as src, p_partkey // 3 as dst from part where p_partkey >= 3 and p_partkey <= 3000), n as (select src as node from e union select dst from e),
-r(node, level) as (select node, 0 from n where node not in (select src from e) union select e.src, r.level + 1 from r join e on e.dst = r.node) select node, max(level) as level from r group by 1""")
-def dependency_order(t):
-    """Levels in which the tree part of the graph can be built."""
-    p = t("part").filter("p_partkey between 3 and 3000").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).cast("long").alias("dst"))
-    return G.topological(p)
-
-
-@query()
-def dependency_order_whole(t):
-    """The same levels over every part; ``dependency_order`` and its SQL keep parts 3 to 3000."""
-    p = t("part").filter("p_partkey >= 3").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).cast("long").alias("dst"))
-    return G.topological(p)
-
-
 @query("""select doc_id, 'wing' as rel, trim(wing) as parent from documents where trim(coalesce(wing,'')) <> ''
 union all select doc_id, 'room', trim(wing) || '/' || trim(room) from documents where trim(coalesce(wing,'')) <> '' and trim(coalesce(room,'')) <> ''""")
 def structural_edges(t):

@@ -203,26 +203,6 @@ def name_usage(t):
     return j.filter("defs is null or uses = defs").select("canonical_path", "name", F.coalesce("defs", F.lit(0)).alias("defs"), (F.coalesce("uses", F.lit(0)) - F.coalesce("defs", F.lit(0))).alias("uses"))
 
 
-@query("""with recursive e as (select p_partkey as src, p_partkey // 3 as dst from part where p_partkey >= 3), changed as (select p_partkey as node from part where p_size = 50),
-r(node, depth) as (select node, 0 from changed union select e.dst, depth + 1 from r join e on e.src = r.node where depth < 10) select node, min(depth) as depth from r group by 1""")
-def change_impact(t):
-    """What a set of changed symbols reaches upwards, with the least distance."""
-    p = t("part")
-    e = p.filter("p_partkey >= 3").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).cast("long").alias("dst"))
-    return G.reach(e, p.filter("p_size = 50").select(F.col("p_partkey").alias("node")), 10)
-
-
-@query("""select l_suppkey as supplier, l_partkey as part, sum(l_quantity) as quantity from lineitem where l_returnflag = 'R' group by 1, 2 having sum(l_quantity) > 45""")
-def reference_evidence(t):
-    """Pairs joined by enough evidence: grouped counts over the largest table."""
-    return t("lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).agg(F.sum("l_quantity").alias("quantity")).filter("quantity > 45")
-
-
-@query("""select id, case when json_valid(metadata_json) then json_extract_string(metadata_json, '$.author') end as author, json_extract_string(metadata_json, '$.n') as n from kg_facts""")
-def fact_metadata(t):
-    return t("kg_facts").select("id", F.get_json_object("metadata_json", "$.author").alias("author"), F.get_json_object("metadata_json", "$.n").alias("n"))
-
-
 @query("""select s.run_id, count(distinct s.canonical_path) as files, count(*) filter (s.delivered_at > r.finished_at) as late from source_scan s join sync_runs r using (run_id) group by 1""")
 def sync_job_report(t):
     s, r = t("source_scan"), t("sync_runs").select("run_id", "finished_at")

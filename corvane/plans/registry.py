@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import code, extra, facts, graph, more, problems, search, store, text
+from corvane.plans import code, extra, facts, graph, lifecycle, more, problems, project, search, store, text
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (problems, store.P, search.P, graph.P, facts.P, code.P, text.P, more.P, extra.P)
+MODULES = (problems, store.P, search.P, graph.P, facts.P, code.P, text.P, more.P, extra.P, project.P, lifecycle.P)
 
 
 def queries() -> dict:

@@ -201,16 +201,19 @@ def _block_knn(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator
         for own in _leaves(q * s[:, None], np.arange(len(ids)), most, np.random.default_rng(b.column(0)[0].as_py())):
             own = np.sort(own)
             m = min(k, len(own) - 1)
-            for lo in range(0, len(own), 512):
-                rows = own[lo:lo + 512]
-                sim = _sims(q[rows], s[rows], q[own], s[own])
-                sim[np.arange(len(rows)), np.arange(lo, lo + len(rows))] = -2 * UNIT
-                top = np.argpartition(sim, -m, axis=1)[:, -m:] if m else np.zeros((len(rows), 0), np.int64)
+            right, scale = np.ascontiguousarray(q[own].T), s[own]
+            for lo in range(0, len(own), 256):
+                rows = own[lo:lo + 256]
+                dots = q[rows] @ right  # exact
+                key = dots * scale  # orders a row as its similarities do
+                key[np.arange(len(rows)), np.arange(lo, lo + len(rows))] = -np.inf
+                top = np.argpartition(key, -m, axis=1)[:, -m:] if m else np.zeros((len(rows), 0), np.int64)
+                sim = np.clip(np.rint(np.take_along_axis(dots, top, 1) * (s[rows, None] * scale[top]) * UNIT), -UNIT, UNIT)
                 near = own[top].ravel()
                 n = np.full(len(rows), m)
                 yield _batch(
                     id=pa.array(ids[rows]), home=pa.array(homes[rows], pa.int32()), ids=_lists(ids[near], n, pa.int64()),
-                    sims=_lists(np.take_along_axis(sim, top, 1).ravel().astype(np.int16), n, pa.int16()), homes=_lists(homes[near], n, pa.int32()))
+                    sims=_lists(sim.ravel().astype(np.int16), n, pa.int16()), homes=_lists(homes[near], n, pa.int32()))
 
 
 def _zip(*names: str):
@@ -357,7 +360,7 @@ def _by_group(df: DataFrame, keys: list[str], rows: int, each: int = 8_192) -> D
 
 
 def knn_graph(
-    codes: DataFrame, dims: int, degree: int = 12, trees: int = 3, cell_rows: int = 4_096, home_rows: int = 32_768, change: float = 0.02,
+    codes: DataFrame, dims: int, degree: int = 12, trees: int = 3, cell_rows: int = 2_048, home_rows: int = 32_768, change: float = 0.02,
     sample_rows: int = 20_000, seed: int = 7,
 ) -> DataFrame:
     """(id, home, ids, sims, homes): the ``degree`` nearest found for every id of (id, code), best first.

@@ -143,11 +143,19 @@ def _short(w: str) -> bool:
     return len(w) >= 3 and cons(len(w) - 3) and not cons(len(w) - 2) and cons(len(w) - 1) and w[-1] not in "wxy"
 
 
+#: fixed values: words that a stemmed index leaves out
+STOPWORDS = """
+a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does
+doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me
+more most must my myself no nor not now of off on once only or other ought our ours ourselves out over own same she should so some such than that the
+their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why
+will with without would you your yours yourself yourselves
+""".split()
 #: fixed values: suffixes of the published stemmer's steps 2, 3 and 4
 STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent",
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent",
     "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful",
-    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
 }
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")

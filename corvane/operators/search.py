@@ -190,7 +190,7 @@ def snippet(text: Column, terms: list[str], width: int) -> Column:
 
 def search(
     chunks: DataFrame, docs: DataFrame, query: str, vector: list[float] | None = None, mode: str = "hybrid", top_k: int = 10, per_document: int | None = 3,
-    least: float | None = None, half_life: float | None = None, now: str = "2026-06-01", budget: int | None = None, radius: int = 0,
+    least: float | None = None, half_life: float | None = None, now: str = "2026-06-01", budget: int | None = None, radius: int = 0, index=None,
 ) -> DataFrame:
     """Ranked hits of one query: (rank, chunk_id, document_id, score, snippet, context, kept).
 
@@ -198,7 +198,8 @@ def search(
     updated_at); chunks of others are never candidates, while term statistics stay the whole corpus's. The candidate
     pool is max(5 k, 50) and doubles up to 4,096 while the cap per document leaves fewer than k hits, since
     in a fused list a larger pool adds terms to hits of the smaller one. Then in this order: least score, recency, field boosts, order,
-    equal chunks once, cap per document, k, snippets, context, token budget.
+    equal chunks once, cap per document, k, snippets, context, token budget. The lexical leg reads ``index``, a stored index of stems;
+    without one it counts plain words in the chunks themselves.
     """
     check_query(query, top_k)
     if mode not in ("vec", "lex", "hybrid"):
@@ -212,7 +213,8 @@ def search(
     pool = max(5 * top_k, 50)
     lex = vec = None
     if mode != "vec":
-        lex = checkpointed(best(bm25(own, "id", "content", query, allowed.select("key")), 4096))
+        scores = bm25(own, "id", "content", query, allowed.select("key")) if index is None else index.bm25(query, allowed.select("key"))
+        lex = checkpointed(best(scores, 4096))
     if mode != "lex":
         near = cosine(own, "id", "embedding", vector).join(allowed.select("key"), "key", "left_semi")
         vec = checkpointed(best(near, 4096))

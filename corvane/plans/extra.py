@@ -15,14 +15,13 @@ from corvane.operators import documents as D
 from corvane.operators import graph as G
 from corvane.operators import search as S
 from corvane.plans import code as PC
+from corvane.operators.lexical import content_words
 from corvane.plans import graph as PG
 from corvane.plans import search as PS
 from corvane.plans.base import Plans
 
 P = Plans()
 query = P.query
-#: fixed values: function words that a stemmed index leaves out
-STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
 @query("select count(*) as n from documents where source = 'vault-main'")
@@ -93,11 +92,10 @@ def context_block(t):
     return hits.agg(F.array_join(parts["x"], "\n\n").alias("block"))
 
 
-@query(r"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where text is not null)
-select doc_id, len(w) - len(list_filter(w, lambda x: x in ('a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with'))) as content_words from w""")
+@query(rf"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from documents where text is not null)
+select doc_id, len(list_filter(w, lambda x: x not in ({PS.STOPPED}))) as content_words from w""")
 def stopword_filter(t):
-    w = t("documents").filter("text is not null").select("doc_id", S.tokens(F.col("text")).alias("w"))
-    return w.select("doc_id", F.size(F.filter("w", lambda x: ~x.isin(*STOPWORDS))).alias("content_words"))
+    return t("documents").filter("text is not null").select("doc_id", F.size(content_words(F.col("text"))).alias("content_words"))
 
 
 @query()

@@ -30,19 +30,19 @@ h as (select key, document_id, chunk_index, s * (1 + pow(2e0, -date_diff('day',
 def search_hybrid_ranks(t):
     """The ranks of the hybrid search below, without texts and budget."""
     c = PS.chunks(t)
-    return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "hybrid", 10, per_document=1, half_life=90.0).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
+    return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "hybrid", 10, per_document=1, half_life=90.0, index=PS.index(t)).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def search_hybrid(t):
     """Lexical and vector legs, fused and finished in the fixed order."""
     c = PS.chunks(t)
-    return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "hybrid", 10, per_document=1, half_life=90.0, budget=2000, radius=1)
+    return S.search(c, D.scope(t("documents")), QUERY, PS.seed_vector(c), "hybrid", 10, per_document=1, half_life=90.0, budget=2000, radius=1, index=PS.index(t))
 
 
 @query(f"with {PS.BM25}, {SCOPED}, f as (select key, score as s from lex where score >= 0.5), h as (select key, document_id, chunk_index, s * {BOOST} as score from f join ok using (key)), {FINISH % 2}")
 def search_lexical(t):
-    return S.search(PS.chunks(t), D.scope(t("documents")), QUERY, mode="lex", top_k=10, per_document=2, least=0.5).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
+    return S.search(PS.chunks(t), D.scope(t("documents")), QUERY, mode="lex", top_k=10, per_document=2, least=0.5, index=PS.index(t)).select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {PS.CH}, {PS.VEC}, {SCOPED}, f as (select key, score as s from vec), h as (select key, document_id, chunk_index, s * {BOOST} as score from f join ok using (key)), {FINISH % 3}")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from corvane.operators import documents as D
 from corvane.operators import search as S
+from corvane.functions.text import STEP2, STEP3, STEP4, STOPWORDS
+from corvane.operators.lexical import LexicalIndex, stems
 from corvane.plans.base import Plans
+from corvane.sources.tables import scratch
 
 P = Plans()
 query = P.query
@@ -19,8 +22,39 @@ ACTIVE = "coalesce(nullif(trim(status),''),'active') not in ('archived','tombsto
 
 CH = """c as (select id, any_value(document_id) document_id, any_value(chunk_index) chunk_index, any_value(content) content, any_value(embedding) embedding from chunks group by id)"""
 TOK = r"tok as (select id as key, unnest(string_split_regex(lower(content), '[^\p{L}\p{N}]+')) as term from c where content is not null), words as (select * from tok where term <> '')"
-BM25 = rf"""{CH}, {TOK}, dl as (select c.id as key, count(w.term)::double as dl from c left join words w on w.key = c.id where c.content is not null group by 1),
-st as (select count(*)::double as n, avg(dl) as avgdl from dl), tf as (select key, term, count(*)::double as tf from words where term in (select col0 from (values {TERMS})) group by 1, 2),
+
+
+def _shape(e: str, one: bool = False) -> str:
+    """SQL of a word's consonants and vowels, as C and V, runs as one letter or letter by letter."""
+    n = "" if one else "+"
+    x = f"regexp_replace(regexp_replace(regexp_replace({e}, '^y', 'b'), '([aeiou])y', '\\1b', 'g'), 'y', 'a', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '[aeiou]{n}', 'V', 'g'), '[^V]{n}', 'C', 'g')"
+
+
+def _suffix(step: str, source: str, table: dict[str, str], turns: str, also: str = "true") -> str:
+    """SQL of one table step of the stemmer: the longest suffix goes if its stem has the turns of vowels and consonants asked for."""
+    pick = " ".join(f"when x like '%{k}' then '{k}'" for k in sorted(table, key=len, reverse=True))
+    to = " ".join(f"when '{k}' then '{v}'" for k, v in table.items())
+    return f"""{step}a as (select w, x, case {pick} end as s from {source}), {step}b as (select *, left(x, length(x) - length(s)) as st from {step}a),
+{step} as (select w, case when s is not null and regexp_matches({_shape('st')}, '{turns}') and {also} then st || case s {to} end else x end as x from {step}b)"""
+
+
+#: the published stemmer over the table ``terms(w)`` in SQL, as ``stem(w, x)``
+PORTER = f"""p1 as (select w, case when w like '%sses' or w like '%ies' then left(w, length(w) - 2) when w like '%ss' then w when w like '%s' then left(w, length(w) - 1) else w end as x from terms),
+p2 as (select w, case when x like '%eed' then case when contains({_shape('left(x, length(x) - 3)')}, 'VC') then left(x, length(x) - 1) else x end
+ when x like '%ed' and contains({_shape('left(x, length(x) - 2)')}, 'V') then left(x, length(x) - 2) when x like '%ing' and contains({_shape('left(x, length(x) - 3)')}, 'V') then left(x, length(x) - 3) else x end as x,
+ x not like '%eed' and (x like '%ed' and contains({_shape('left(x, length(x) - 2)')}, 'V') or x not like '%ed' and x like '%ing' and contains({_shape('left(x, length(x) - 3)')}, 'V')) as cut from p1),
+p3 as (select w, case when not cut then x when x like '%at' or x like '%bl' or x like '%iz' then x || 'e' when length(x) > 1 and right(x, 1) = substr(x, length(x) - 1, 1) and not regexp_matches(x, '[aeioulsz]$') then left(x, length(x) - 1)
+ when regexp_matches({_shape('x')}, '^C?VCV?$') and regexp_matches({_shape('x', True)}, 'CVC$') and not regexp_matches(x, '[wxy]$') then x || 'e' else x end as x from p2),
+p4 as (select w, case when x like '%y' and contains({_shape('left(x, length(x) - 1)')}, 'V') then left(x, length(x) - 1) || 'i' else x end as x from p3),
+{_suffix('p5', 'p4', STEP2, 'VC')}, {_suffix('p6', 'p5', STEP3, 'VC')}, {_suffix('p7', 'p6', dict.fromkeys(STEP4, ''), 'VC.*VC', "(s <> 'ion' or regexp_matches(st, '[st]$'))")},
+p8 as (select w, case when x like '%e' and (regexp_matches({_shape('left(x, length(x) - 1)')}, 'VC.*VC') or regexp_matches({_shape('left(x, length(x) - 1)')}, '^C?VCV?$') and not (regexp_matches({_shape('left(x, length(x) - 1)', True)}, 'CVC$') and not regexp_matches(left(x, length(x) - 1), '[wxy]$'))) then left(x, length(x) - 1) else x end as x from p7),
+stem as (select w, case when length(w) <= 2 or not regexp_matches(w, '^[a-z]+$') then w when x like '%ll' and regexp_matches({_shape('left(x, length(x) - 1)')}, 'VC.*VC') then left(x, length(x) - 1) else x end as x from p8)"""
+STOPPED = ", ".join(f"'{w}'" for w in STOPWORDS)
+STEMS = rf"""tok as (select id as key, unnest(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}]+')) as term from c where content is not null), plain as (select * from tok where term <> '' and term not in ({STOPPED})),
+terms as (select distinct term as w from plain), {PORTER}, words as (select key, x as term from plain join stem on w = term)"""
+BM25 = rf"""{CH}, {STEMS}, dl as (select c.id as key, count(w.term)::double as dl from c left join words w on w.key = c.id where c.content is not null group by 1),
+st as (select count(*)::double as n, avg(dl) as avgdl from dl), tf as (select key, term, count(*)::double as tf from words where term in ('lexic', 'snapshot', 'rank') group by 1, 2),
 df as (select term, count(*)::double as df from tf group by 1),
 lex as (select key, sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) as score
  from tf join df using (term) join dl using (key), st group by 1)"""
@@ -43,8 +77,21 @@ def seed_vector(c) -> list[float]:
     return ok.orderBy("id").select("embedding").first()[0]
 
 
+_INDEXES: dict = {}
+
+
+def index(t) -> LexicalIndex:
+    """The index of the chunks' contents; built once a session for one set of tables, in the shared folder."""
+    c = t("chunks")
+    spark = c.sparkSession
+    key = (spark.sparkContext.applicationId, *c.inputFiles())
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex(spark, scratch(spark, "index")).build(c, "id", "content")
+    return _INDEXES[key]
+
+
 def lexical(t):
-    return S.bm25(chunks(t), "id", "content", QUERY)
+    return index(t).bm25(QUERY)
 
 
 def vector(t):
@@ -58,9 +105,10 @@ def tokenise(t):
     return w.filter(F.size("w") > 0).select("key", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_terms"))
 
 
-@query(rf"with {CH}, {TOK}, tf as (select key, term, count(*) tf from words group by 1, 2) select term, count(*) as df, sum(tf)::bigint as cf from tf group by 1")
+@query(f"with {CH}, {STEMS}, tf as (select key, term, count(*) tf from words group by 1, 2) select term, count(*) as df, sum(tf)::bigint as cf from tf group by 1")
 def bm25_index(t):
-    return S.postings(chunks(t).filter("content is not null"), "id", "content").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """Terms of the stored index, with the texts that hold each and how often."""
+    return index(t).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"with {BM25} select key, round(score, 6) as score from lex order by lex.score desc, key limit 20")
@@ -73,7 +121,7 @@ def bm25_topk(t):
 def bm25_scoped_topk(t):
     c = chunks(t)
     allowed = c.join(D.scope(t("documents"), wing="atlas").select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").select(F.col("id").alias("key"))
-    return S.top_k(S.bm25(c, "id", "content", QUERY, allowed), 20).select("key", F.round("score", 6).alias("score"))
+    return S.top_k(index(t).bm25(QUERY, allowed), 20).select("key", F.round("score", 6).alias("score"))
 
 
 @query(rf"with {CH}, {TOK} select key, count(*)::double as score from words where term in (select col0 from (values {TERMS})) group by 1 order by score desc, key limit 20")

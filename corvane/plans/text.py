@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corvane.functions import text as X
 from corvane.operators import search as S
+from corvane.plans import search as PS
 from corvane.plans.base import Plans
 from corvane.sources import files
 from corvane.sources.tables import shared_dir
@@ -53,7 +54,8 @@ def markdown_sections(t):
     return d.select("doc_id", F.explode(heads("text")).alias("h")).select("doc_id", F.col("h.at").alias("char_start"), F.col("h.path").alias("heading_path")).filter(F.size("heading_path") > 0)
 
 
-@query()
+@query(rf"""with w as (select doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))) as w from documents where text is not null), n as (select w, count(*) as documents from w group by 1), terms as (select w from n), {PS.PORTER}
+select n.w as word, x as stem, documents from n join stem on stem.w = n.w""")
 def porter_terms(t):
     """Stems of the corpus's words with their documents; each distinct word is stemmed once."""
     w = t("documents").filter("text is not null").select("doc_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("word"))

@@ -78,6 +78,14 @@ def _forget(spark: SparkSession) -> None:
         pass
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder of the shared one, which goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p.getParent())
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by ``written`` that no later plan reads."""
     path = getattr(df, "_written_at", None)

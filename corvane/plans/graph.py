@@ -113,7 +113,8 @@ def graph_neighbours_capped(t):
     return G.reach(G.undirected(n), n.filter("dst = 'w:resolver'").select(F.col("dst").alias("node")), 2, node_cap=20)
 
 
-@query()
+@query(f"""with recursive {NET}, n as (select src as node from e union select dst from e), r(node, seen) as (select node, node from n union select r.node, u.dst from r join u on u.src = r.seen)
+select node, min(seen) as component from r group by 1""")
 def connected_components(t):
     return G.components(net(t))
 

@@ -360,15 +360,15 @@ def _by_group(df: DataFrame, keys: list[str], rows: int, each: int = 8_192) -> D
 
 
 def knn_graph(
-    codes: DataFrame, dims: int, degree: int = 12, trees: int = 3, cell_rows: int = 2_048, home_rows: int = 32_768, change: float = 0.02,
-    sample_rows: int = 20_000, seed: int = 7,
+    codes: DataFrame, dims: int, degree: int = 12, trees: int = 3, cell_rows: int = 4_096, home_rows: int = 32_768, change: float = 0.02,
+    sample_rows: int = 20_000, seed: int = 7, least: float = -1.0,
 ) -> DataFrame:
     """(id, home, ids, sims, homes): the ``degree`` nearest found for every id of (id, code), best first.
 
     The routing trees are fitted on the ``sample_rows`` vectors of smallest hash; every vector is routed and compared. Cells
     hold about ``cell_rows`` vectors as far as the sample can tell cells apart (about ten of it to a cell, some 2,000 cells);
     beyond that a task divides its cell further by hyperplanes through its own vectors. Rounds go on until fewer than
-    ``change`` of all links are new.
+    ``change`` of the links of similarity ``least`` or more are new; every link is walked, whatever its similarity.
     """
     n = codes.count()
     spark = codes.sparkSession
@@ -401,8 +401,9 @@ def knn_graph(
         after = written(both.select(*lists, F.transform("b", lambda x: ~F.array_contains("old", x["ids"])).alias("news"), "live"), "graph", "id", buckets)
         discard(graph)
         graph, first = after, False
-        new = graph.select(F.sum(F.size(F.filter("news", lambda x: x)))).first()[0] or 0
-        if new <= change * n * degree:
+        near = F.filter(F.arrays_zip("sims", "news"), lambda e: e["sims"] >= int(least * UNIT))
+        have, new = graph.select(F.sum(F.size(near)), F.sum(F.size(F.filter(near, lambda e: e["news"])))).first()
+        if (new or 0) <= change * (have or 0):
             return graph.select("id", "home", "ids", "sims", "homes")
 
 
@@ -474,6 +475,8 @@ def most_similar(
     copies = many.filter("id <> node")
     nodes = written(every.join(copies.select("id"), "id", "left_anti").select("id", "h", "code"), "nodes", "id", _buckets(every))
     discard(every)
+    if least is not None:
+        how = {"least": least - doubt} | how
     graph = knn_graph(nodes.select("id", "code"), dims, **how)
     best = written(_exact_lists(graph, nodes.count(), nodes.select("id", "h"), _vectors(df, key, vector, dims, True), dims, k, least, doubt), "best")
     # back to ids: the others of the own group come first, then the near groups' smallest ids

@@ -38,7 +38,7 @@ def schema_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("table_name", "column_name", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def checked_urls(df: DataFrame, url: str, allowed: list[str]) -> DataFrame:
+def checked_urls(df: DataFrame, url: str, allowed: list[str], schemes: tuple[str, ...] = ("http", "https"), keep: list[str] = []) -> DataFrame:
     """(url, host, verdict): ``ok``, or the first thing wrong: ``scheme``, ``no host``, ``host``. ``*.x`` allows what lies below x."""
     u = F.col(url)
     host = F.nullif(F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -47,9 +47,9 @@ def checked_urls(df: DataFrame, url: str, allowed: list[str]) -> DataFrame:
     good = F.col("host").isin(exact)
     for b in below:
         good = good | F.col("host").endswith(b)
-    web = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https")
-    return df.select(u.alias("url"), host.alias("host"), web.alias("web")).select(
-        "url", "host", F.when(~F.col("web"), "scheme").when(F.col("host").isNull(), "no host").when(good, "ok").otherwise("host").alias("verdict"))
+    web = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*schemes)
+    return df.select(*keep, u.alias("url"), host.alias("host"), web.alias("web")).select(
+        *keep, "url", "host", F.when(~F.col("web"), "scheme").when(F.col("host").isNull(), "no host").when(good, "ok").otherwise("host").alias("verdict"))
 
 
 def without_source(documents: DataFrame, chunks: DataFrame, facts: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:

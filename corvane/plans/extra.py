@@ -34,9 +34,10 @@ def find_by_id_or_uri(t):
     return t("documents").filter("doc_id = 3 or uri = 'vault://loom/note/225'").select("doc_id", "uri")
 
 
-@query("select doc_id, length(text) as chars, left(text, 40) as head from documents where doc_id in (2, 4, 8, 16, 32, 64)")
+@query("select doc_id, text from documents where doc_id in (2, 4, 8, 16, 32, 64)")
 def batch_bodies(t):
-    return t("documents").filter(F.col("doc_id").isin(2, 4, 8, 16, 32, 64)).select("doc_id", F.length("text").alias("chars"), F.substring("text", 1, 40).alias("head"))
+    """Whole bodies by a list of ids."""
+    return t("documents").filter(F.col("doc_id").isin(2, 4, 8, 16, 32, 64)).select("doc_id", "text")
 
 
 @query("select doc_id from documents where sha256(text) = (select sha256(text) from documents where text is not null group by 1 order by count(*) desc, 1 limit 1)")

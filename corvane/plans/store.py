@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.operators import documents as D
+from corvane.operators import lifecycle as L
 from corvane.plans.base import Plans
+from corvane.sources import files
 
 P = Plans()
 query = P.query
@@ -151,27 +153,35 @@ def lifecycle_candidates(t):
     return t("documents").filter(F.trim("status") == "tombstone").select("doc_id", "kind")
 
 
-@query("""select id, regexp_extract(lower(canonical_path), '[.]([^./]+)$', 1) as ext,
- regexp_extract(lower(canonical_path), '[.]([^./]+)$', 1) in ('md','txt','html','py','rs','sql','tex','pdf','docx','xlsx','sh') as supported
- from (select document_id as id, canonical_path from source_manifest)""")
+ENDINGS = ", ".join(repr(e) for e in [*files.DOCUMENTS.split(), *(e for v in files.LANGUAGES.values() for e in v.split())])
+ODD_FILES = ("/x/Dockerfile", "/x/Dockerfile.dev", "/x/go.mod", "/x/.gitignore", "/x/README", "/x/a.PY", "/x/archive.tar.gz", "/x/my.dockerfile")
+
+
+@query(f"""select path, supported from (values ('/x/Dockerfile', true), ('/x/Dockerfile.dev', true), ('/x/go.mod', true), ('/x/.gitignore', false), ('/x/README', false), ('/x/a.PY', true), ('/x/archive.tar.gz', false), ('/x/my.dockerfile', true)) v(path, supported)
+union all select path, regexp_extract(lower(path), '[.]([^./]+)$', 1) in ({ENDINGS}) from (select distinct canonical_path as path from source_manifest)""")
 def supported_source(t):
-    m = t("source_manifest").select(F.col("document_id").alias("id"), F.regexp_extract(F.lower("canonical_path"), r"[.]([^./]+)$", 1).alias("ext"))
-    return m.withColumn("supported", F.col("ext").isin("md", "txt", "html", "py", "rs", "sql", "tex", "pdf", "docx", "xlsx", "sh"))
+    """Files that can be read, of the manifest and some with odd names."""
+    m = t("source_manifest").select(F.col("canonical_path").alias("path")).distinct()
+    some = m.sparkSession.createDataFrame([(x,) for x in ODD_FILES], "path string")
+    return some.unionByName(m).select("path", files.is_supported(F.col("path")).alias("supported"))
 
 
 @query("""select request_id, regexp_extract(uri, '^[a-z]+://([^/]+)', 1) as host,
- regexp_matches(regexp_extract(uri, '^[a-z]+://([^/]+)', 1), '^(atlas|beacon|l.*)$') as allowed from ingest_requests where uri is not null""")
+ regexp_extract(uri, '^[a-z]+://([^/]+)', 1) in ('atlas', 'beacon') or regexp_extract(uri, '^[a-z]+://([^/]+)', 1) like '%.lantern' as allowed from ingest_requests where uri is not null""")
 def host_allowed(t):
-    r = t("ingest_requests").filter("uri is not null").select("request_id", F.regexp_extract("uri", "^[a-z]+://([^/]+)", 1).alias("host"))
-    return r.withColumn("allowed", F.col("host").rlike("^(atlas|beacon|l.*)$"))
+    """Whether the host of an address is of a list, exact or below a wildcard."""
+    u = L.checked_urls(t("ingest_requests").filter("uri is not null"), "uri", ["atlas", "beacon", "*.lantern"], ("vault",), ["request_id"])
+    return u.select("request_id", "host", (F.col("verdict") == "ok").alias("allowed"))
 
 
-@query("""select request_id, case when lower(path) like '%.html%' then 'html' when lower(path) like '%.md%' then 'markdown' else 'text' end as page_kind
- from ingest_requests where path is not null""")
+@query("""select content_type, url, kind from (values ('text/html; charset=utf-8','/a','html'), ('TEXT/MARKDOWN','/a.html','markdown'), ('text/plain','/a.md','markdown'), ('text/plain','/a','text'), (null,'/a.md?x=1','markdown'), (null,'/a.txt#y','text'), ('application/pdf','/a.pdf',null), ('application/xhtml+xml',null,'html')) v(content_type, url, kind)
+union all select null, path, case when regexp_matches(lower(path), '[.](md|markdown)$') then 'markdown' when regexp_matches(lower(path), '[.]txt$') then 'text' else 'html' end from (select distinct path from ingest_requests where path is not null and not contains(path, '?') and not contains(path, '#'))""")
 def content_type_classify(t):
-    p = F.lower("path")
-    return t("ingest_requests").filter("path is not null").select(
-        "request_id", F.when(p.contains(".html"), "html").when(p.contains(".md"), "markdown").otherwise("text").alias("page_kind"))
+    """Kinds of pages by content type and address."""
+    p = t("ingest_requests").filter("path is not null and not contains(path, '?') and not contains(path, '#')").select(F.lit(None).cast("string").alias("content_type"), F.col("path").alias("url")).distinct()
+    rows = [("text/html; charset=utf-8", "/a"), ("TEXT/MARKDOWN", "/a.html"), ("text/plain", "/a.md"), ("text/plain", "/a"), (None, "/a.md?x=1"), (None, "/a.txt#y"), ("application/pdf", "/a.pdf"), ("application/xhtml+xml", None)]
+    both = p.sparkSession.createDataFrame(rows, "content_type string, url string").unionByName(p)
+    return both.select("content_type", "url", files.page_kind(F.col("content_type"), F.col("url")).alias("kind"))
 
 
 @query("""select request_id, json_extract_string(metadata_json, '$.author') as author, json_extract_string(metadata_json, '$.n') as n from ingest_requests""")
@@ -180,12 +190,10 @@ def metadata_fields(t):
         "request_id", F.get_json_object("metadata_json", "$.author").alias("author"), F.get_json_object("metadata_json", "$.n").alias("n"))
 
 
-@query("""select count(*) as docs, (select count(*) from chunks) as chunks, sum(strlen(text))::bigint as text_bytes,
- max(strlen(text)) as largest from documents""")
+@query("""select count(*) as docs, coalesce(sum(strlen(text)), 0)::bigint as bytes, max(strlen(text)) as largest, count(*) <= 100000 and coalesce(sum(strlen(text)), 0) <= 1000000 as fits from documents""")
 def portable_preflight(t):
-    c = t("chunks").agg(F.count("*").alias("chunks"))
-    return t("documents").agg(
-        F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("text_bytes"), F.max(F.octet_length("text")).alias("largest")).join(F.broadcast(c))
+    """What an export would hold against its limits."""
+    return files.preflight(t("documents"), "text", 100_000, 1_000_000)
 
 
 @query("""select canonical_path, size_bytes, document_id from source_manifest where canonical_root = '/vaults/atlas/decisions'""")
@@ -193,15 +201,10 @@ def source_manifest_root(t):
     return t("source_manifest").filter("canonical_root = '/vaults/atlas/decisions'").select("canonical_path", "size_bytes", "document_id")
 
 
-@query("""select m.canonical_path from (select distinct canonical_path from source_manifest) m
- where not exists (select 1 from source_scan s where s.canonical_path = m.canonical_path)""")
-def source_manifest_deleted(t):
-    return t("source_manifest").select("canonical_path").distinct().join(t("source_scan").select("canonical_path"), "canonical_path", "left_anti")
-
-
-@query("select document_id as doc_id, id as chunk_id, title, uri from chunks join documents on document_id = doc_id where id <= 300")
+@query("select document_id as doc_id, id as chunk_id, title, uri from (select distinct id, document_id from chunks) join documents on document_id = doc_id")
 def hit_hydration(t):
-    hits = t("chunks").filter("id <= 300").select(F.col("document_id").alias("doc_id"), F.col("id").alias("chunk_id"))
+    """Every chunk with its document's title and address."""
+    hits = t("chunks").select(F.col("document_id").alias("doc_id"), F.col("id").alias("chunk_id")).distinct()
     return hits.join(t("documents").select("doc_id", "title", "uri"), "doc_id")
 
 

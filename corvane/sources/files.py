@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -62,15 +63,63 @@ def html_to_text(page: str) -> str:
     return "\n".join(x for x in (" ".join(y.split()) for y in lines) if x)
 
 
-def decode_text(raw: bytes) -> tuple[str, str]:
-    """(text, encoding): by byte order mark, then UTF-8, then Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if raw.startswith(mark):
-            return raw.decode(name, "replace"), name
-    try:
-        return raw.decode("utf-8"), "utf-8"
-    except UnicodeDecodeError:
-        return raw.decode("latin-1"), "latin-1"
+def decode_text(raw: bytes) -> tuple[str, str, str]:
+    """(text, encoding, what says so): by byte order mark, else UTF-8, else Windows-1251 if at least four letters and one in twenty are Cyrillic there, else Windows-1252.
+
+    Nothing is ever replaced: bytes that the encoding doesn't know, UTF-32, and what looks binary raise ValueError.
+    """
+    basis = "mark"
+    if raw.startswith((b"\xff\xfe\0\0", b"\0\0\xfe\xff")):
+        raise ValueError("UTF-32 is not supported")
+    if raw.startswith(b"\xef\xbb\xbf"):
+        text, name = raw[3:].decode("utf-8"), "utf-8-sig"
+    elif raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        name = "utf-16le" if raw[0] == 0xFF else "utf-16be"
+        text = raw[2:].decode(name)
+    else:
+        try:
+            text, name, basis = raw.decode("utf-8"), "utf-8", "strict"
+        except UnicodeDecodeError:
+            cyrillic = sum(b >= 0xC0 or b in (0xA8, 0xB8) for b in raw)
+            latin = sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw)
+            name = "cp1251" if cyrillic >= 4 and 20 * cyrillic >= cyrillic + latin else "cp1252"
+            text, basis = raw.decode(name), "evidence"
+    odd = basis == "evidence" and any(unicodedata.category(c) == "Cc" and c not in "\n\r\t\f" for c in text)
+    if odd or "\0" in text:
+        raise ValueError("looks binary")
+    return text, name, basis
+
+
+#: fixed values: languages by file ending, and names that need none
+LANGUAGES = {
+    "rust": "rs", "python": "py", "javascript": "js mjs cjs jsx", "typescript": "ts tsx", "java": "java", "c": "c h", "cpp": "cc cpp cxx hpp hh hxx", "csharp": "cs", "go": "go", "ruby": "rb",
+    "php": "php phtml", "swift": "swift", "kotlin": "kt kts", "scala": "scala", "perl": "pl pm t", "powershell": "ps1 psm1 psd1", "shell": "sh bash zsh", "sql": "sql", "lua": "lua", "elixir": "ex exs",
+    "erlang": "erl hrl", "r": "r", "vue": "vue", "svelte": "svelte", "toml": "toml", "yaml": "yaml yml", "dockerfile": "dockerfile", "json": "json", "xml": "xml svg", "css": "css scss sass less",
+}
+DOCUMENTS = "md markdown txt html htm pdf docx xlsx"
+NAMED = r"^(?:go\.mod|(?:Dockerfile|Containerfile)(?:\..*)?)$"
+
+
+def is_supported(path: Column) -> Column:
+    """Whether a file's name or ending is one of a known kind."""
+    name = F.regexp_extract(path, r"([^/\\]+)$", 1)
+    ending = F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1))
+    return name.rlike(NAMED) | ending.isin(*DOCUMENTS.split(), *(e for v in LANGUAGES.values() for e in v.split()))
+
+
+def page_kind(content_type: Column, url: Column) -> Column:
+    """html, markdown or text, by the content type without its parameters, else by the address; null for anything else that is named."""
+    kind = F.lower(F.trim(F.split(F.coalesce(content_type, F.lit("")), ";")[0]))
+    path = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""))
+    by_url = F.when(path.rlike(r"\.(?:md|markdown)$"), "markdown").when(path.rlike(r"\.txt$"), "text").otherwise("html")
+    return F.when(kind.isin("text/html", "application/xhtml+xml"), "html").when(kind.isin("text/markdown", "text/x-markdown"), "markdown").when(
+        kind == "text/plain", F.when(by_url == "markdown", "markdown").otherwise("text")).when(kind == "", by_url)
+
+
+def preflight(documents: DataFrame, text: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """(docs, bytes, largest, fits): what an export would hold, and whether that is within the limits."""
+    n = documents.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.max(F.octet_length(text)).alias("largest"))
+    return n.withColumn("fits", (F.col("docs") <= most_rows) & (F.col("bytes") <= most_bytes))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

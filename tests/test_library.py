@@ -67,12 +67,16 @@ def test_iterations_end_by_themselves(spark):
         G.topological(edges(spark, [(1, 2), (2, 3)]), rounds=2)
 
 
-def test_order_covers_every_part(spark, tmp_path):
-    spark.range(1, 3101).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
-    want = {1: 0, 2: 0}
-    for k in range(3, 3101):
-        want[k] = want[k // 3] + 1
-    assert dict(tuple(x) for x in registry.queries()["dependency_order_whole"](spark, str(tmp_path)).collect()) == want
+def test_bytes_are_decoded_or_refused():
+    assert files.decode_text("naïve".encode()) == ("naïve", "utf-8", "strict")
+    assert files.decode_text(b"\xef\xbb\xbfa")[:2] == ("a", "utf-8-sig")
+    assert files.decode_text("\ufeffдом".encode("utf-16-le"))[:2] == ("дом", "utf-16le")
+    assert files.decode_text("\ufeffдом".encode("utf-16-be"))[:2] == ("дом", "utf-16be")
+    assert files.decode_text("Привет, мир".encode("cp1251"))[:2] == ("Привет, мир", "cp1251")
+    assert files.decode_text("café “x”".encode("cp1252"))[:2] == ("café “x”", "cp1252")
+    for raw in ("a".encode("utf-32"), b"a\0b", b"\xef\xbb\xbf\xff", b"\xff\xfea", b"\x81abc", b"\xe9\x01"):
+        with pytest.raises(ValueError):
+            files.decode_text(raw)
 
 
 def test_closest_pairs_of_all_documents(spark, tmp_path):
@@ -148,11 +152,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.html").write_text("<html><nav>menu</nav><body><h1>T</h1><p>One <b>two</b></p><script>x</script></body></html>")
     (tmp_path / "b.docx").write_bytes(docx('<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'))
     (tmp_path / "c.xlsx").write_bytes(xlsx())
-    (tmp_path / "d.txt").write_bytes("ü".encode("latin-1"))
+    (tmp_path / "d.txt").write_bytes("Gr\u00fc\u00dfe".encode("cp1252"))
     (tmp_path / "e.docx").write_bytes(b"broken")
     (tmp_path / "f.bin").write_bytes(b"?")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.reason is None) for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.html": ("T\nOne two", True), "b.docx": ("## Head\n\n| c |", True), "c.xlsx": ("name\t3", True), "d.txt": ("ü", True), "e.docx": (None, False), "f.bin": (None, False)}
+    assert got == {"a.html": ("T\nOne two", True), "b.docx": ("## Head\n\n| c |", True), "c.xlsx": ("name\t3", True), "d.txt": ("Grüße", True), "e.docx": (None, False), "f.bin": (None, False)}
 
 
 def test_bundles_and_backups(spark, tmp_path):

@@ -18,6 +18,10 @@ def test_query_agrees_with_sql(spark, con, name):
     same(spark, con, D, registry.queries()[name], registry.oracle_sql()[name])
 
 
+#: the smallest tables have nothing for these to find
+EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, D).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    assert (registry.queries()[name](spark, D).count() > 0) != (name in EMPTY)

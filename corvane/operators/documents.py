@@ -41,16 +41,27 @@ def has_scope(**equal: str | None) -> bool:
 
 
 def listed(docs: DataFrame, limit: int) -> DataFrame:
-    """First rows of a list: newest first, then by title and id."""
-    return docs.orderBy(F.col("updated_at").desc_nulls_last(), F.col("title").asc_nulls_first(), "doc_id").limit(limit)
+    """First rows of a list: pinned ones, then the higher boost (where the rows have such columns), the newest, then by title and id."""
+    first = [F.coalesce(c, F.lit(d)).desc() for c, d in (("pinned", False), ("boost", 0)) if c in docs.columns]
+    return docs.orderBy(*first, F.col("updated_at").desc_nulls_last(), F.col("title").asc_nulls_first(), "doc_id").limit(limit)
 
 
-def catalog_page(docs: DataFrame, text: str | None, offset: int, limit: int) -> DataFrame:
-    """A page of documents whose title or uri holds a text in any letter case, with the total."""
-    hit = docs
+def catalog_page(docs: DataFrame, text: str | None, offset: int, limit: int, compiled: DataFrame | None = None, only: bool | None = None, **equal) -> DataFrame:
+    """A page of documents whose title, uri or source_file holds a text in any letter case, with the total.
+
+    ``equal`` gives values that columns must have, white space around them aside. With ``compiled`` (doc_id) every row says
+    whether it is among them, and ``only`` keeps those that are or are not.
+    """
+    hit = docs.filter(reduce(lambda a, b: a & b, [F.trim(c) == v for c, v in equal.items()], F.lit(True)))
     if text and text.strip():
         t = text.strip().lower()
-        hit = docs.filter(reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(t) for c in ("title", "uri")]))
+        columns = [c for c in ("title", "uri", "source_file") if c in docs.columns]
+        hit = hit.filter(reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(t) for c in columns]))
+    if compiled is not None:
+        known = compiled.select("doc_id").distinct().withColumn("_c", F.lit(True))
+        hit = hit.join(known, "doc_id", "left").withColumn("compiled", F.coalesce("_c", F.lit(False))).drop("_c")
+        if only is not None:
+            hit = hit.filter(F.col("compiled") == only)
     total = hit.agg(F.count("*").alias("total"))
     page = hit.orderBy("doc_id").offset(offset).limit(max(1, min(limit, 200)))
     return page.join(F.broadcast(total))  # one row

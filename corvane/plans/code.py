@@ -131,11 +131,16 @@ def code_read(t):
     return blobs(t).select("canonical_path", F.array_join(F.slice(F.split("content", "\n"), 3, 4), "\n").alias("source_lines"))
 
 
-@query("""with m as (select distinct regexp_extract(canonical_path, '([^/]+)$', 1) as name from code_index_source_blobs), w as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_-]+[.][a-z]{2,4}'))) as name from documents where text is not null)
-select name, count(*) as mentions from w group by 1""")
+@query("""with m as (select distinct regexp_extract(canonical_path, '([^/]+)$', 1) as name from code_index_source_blobs union select distinct regexp_extract(path, '([^/]+)$', 1) from code_index_revision_files where path is not null),
+w as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_-]+[.][a-z]{2,4}'))) as name from documents where text is not null)
+select w.name, count(*) as mentions, m.name is not null as indexed from w left join m on m.name = w.name group by 1, 3""")
 def literal_mentions(t):
+    """File names that documents mention, and whether an indexed file has that name."""
+    last = lambda c: F.regexp_extract(c, "([^/]+)$", 1).alias("name")
+    known = t("code_index_source_blobs").select(last("canonical_path")).union(t("code_index_revision_files").filter("path is not null").select(last("path"))).distinct().withColumn("k", F.lit(True))
     names = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_-]+[.][a-z]{2,4})"), F.lit(1)))
-    return t("documents").filter("text is not null").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("mentions"))
+    said = t("documents").filter("text is not null").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("mentions"))
+    return said.join(known, "name", "left").select("name", "mentions", F.coalesce("k", F.lit(False)).alias("indexed"))
 
 
 @query("""with a as (select regexp_extract(canonical_path, '^/[^/]+/([^/]+)', 1) as project, regexp_extract(lower(canonical_path), '[.]([^./]+)$', 1) as ext from code_index_source_blobs)
@@ -153,7 +158,7 @@ def python_facts(t):
 
 
 @query("""with r as (select rev_id, lead(rev_id) over (order by rev_id) as next from (select distinct rev_id from code_index_revisions)),
-f as (select index_revision, document_id, arg_max(content_hash, coalesce(document_revision, -1)) as h, count(*) as c from code_index_revision_files where document_id is not null group by all),
+f as (select index_revision, document_id, arg_max({'h': content_hash}, coalesce(document_revision, -1)).h as h from code_index_revision_files where document_id is not null group by all),
 a as (select next as rev, document_id, h from f join r on rev_id = index_revision where next is not null), b as (select index_revision as rev, document_id, h from f where index_revision in (select next from r))
 select coalesce(a.rev, b.rev) as index_revision, case when a.document_id is null then 'added' when b.document_id is null then 'removed' when a.h is distinct from b.h then 'changed' else 'same' end as change, count(*) as n
 from a full join b on a.rev = b.rev and a.document_id = b.document_id group by 1, 2""")

@@ -10,6 +10,7 @@ from corvane.operators import facts as K
 from corvane.operators import graph as G
 from corvane.operators import search as S
 from corvane.plans.base import Plans
+from corvane.streaming import changes as V
 
 P = Plans()
 query = P.query
@@ -246,9 +247,15 @@ def calibration_fit(t):
 
 # change capture over the event log
 
-@query("select user_id, count(*) as changes, max(event_id) as up_to from events where event_id > 2000 and event_id <= 7000 group by 1")
+@query("""with o as (select * from events where event_id > 2000 and event_id <= 7000), k as (select count(distinct event_id) < 5000 as rebuild from o)
+select user_id, rebuild, count(*) as changes from events, k where rebuild or (event_id > 2000 and event_id <= 7000) group by 1, 2""")
 def changed_since(t):
-    return t("events").filter("event_id > 2000 and event_id <= 7000").groupBy("user_id").agg(F.count("*").alias("changes"), F.max("event_id").alias("up_to"))
+    """Users with changes in a span of the log; if any number of the span is missing, everything has to be built again."""
+    whole = t("events").select("event_id", "user_id")
+    own = V.changed_between(whole, "event_id", "user_id", 2000, 7000)
+    span = whole.filter("event_id > 2000 and event_id <= 7000")
+    rows = whole if own is None else span.join(own, "user_id", "left_semi")
+    return rows.groupBy("user_id", F.lit(own is None).alias("rebuild")).agg(F.count("*").alias("changes"))
 
 
 @query("select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id from events group by 1, 2")

@@ -68,16 +68,25 @@ def scope_filter(t):
     return D.scope(t("documents"), wing="atlas", room=" papers ", layer="").select("doc_id", "wing", "kind")
 
 
-@query(f"""select doc_id, title, {US % 'updated_at'} as updated_us from documents where {ACTIVE} and trim(kind) = 'note'
- order by updated_at desc nulls last, title asc nulls first, doc_id limit 50""")
+@query(f"""select doc_id, title, {US % 'updated_at'} as updated_us, pinned, boost from (select *, doc_id in (select document_id from source_manifest where size_bytes > 2000) as pinned, length(coalesce(lang, '')) as boost from documents)
+ where {ACTIVE} and trim(kind) = 'note' order by pinned desc, boost desc, updated_at desc nulls last, title asc nulls first, doc_id limit 50""")
 def document_list(t):
-    return D.listed(D.scope(t("documents"), kind="note"), 50).select("doc_id", "title", F.unix_micros("updated_at").alias("updated_us"))
+    """Pinned notes first, then by boost, age and title. (Documents of large files count as pinned, language codes' length as boost.)"""
+    large = t("source_manifest").filter("size_bytes > 2000").select(F.col("document_id").alias("doc_id"), F.lit(True).alias("p")).distinct()
+    d = D.scope(t("documents"), kind="note").join(large, "doc_id", "left").withColumn("pinned", F.coalesce("p", F.lit(False))).withColumn("boost", F.length(F.coalesce("lang", F.lit(""))))
+    return D.listed(d, 50).select("doc_id", "title", F.unix_micros("updated_at").alias("updated_us"), "pinned", "boost")
 
 
-@query("""select doc_id, title, (select count(*) from documents where lower(coalesce(title,'')) like '%note%' or lower(coalesce(uri,'')) like '%note%') as total
- from documents where lower(coalesce(title,'')) like '%note%' or lower(coalesce(uri,'')) like '%note%' order by doc_id limit 25 offset 10""")
+@query("""with m as (select document_id, min(canonical_path) as source_file from source_manifest group by 1),
+h as (select doc_id, title, doc_id in (select source_document_id from kg_facts) as compiled from documents left join m on document_id = doc_id where trim(kind) = 'note'
+ and (lower(coalesce(title,'')) like '%note%' or lower(coalesce(uri,'')) like '%note%' or lower(coalesce(source_file,'')) like '%note%'))
+select doc_id, title, compiled, (select count(*) from h where compiled) as total from h where compiled order by doc_id limit 25 offset 10""")
 def document_catalog_page(t):
-    return D.catalog_page(t("documents"), "NOTE", 10, 25).select("doc_id", "title", "total")
+    """A page of the notes that facts were taken from, found by title, address or file."""
+    m = t("source_manifest").groupBy(F.col("document_id").alias("doc_id")).agg(F.min("canonical_path").alias("source_file"))
+    compiled = t("kg_facts").select(F.col("source_document_id").alias("doc_id"))
+    page = D.catalog_page(t("documents").join(m, "doc_id", "left"), "NOTE", 10, 25, compiled, True, kind="note")
+    return page.select("doc_id", "title", "compiled", "total")
 
 
 @query("select doc_id from documents where doc_id > 500 order by doc_id limit 100")
@@ -138,6 +147,12 @@ def ops_log_recent(t):
     return t("events").filter(F.col("event_type").isin("signup", "purchase")).orderBy(F.desc("event_id")).limit(30).select("event_id", "event_type")
 
 
+@query("select event_id, event_type, props from events where event_id = 77 or json_extract_string(props, '$.k') = '9' order by event_id")
+def ops_log_entry(t):
+    """Entries of the log by their number or their key."""
+    return t("events").filter((F.col("event_id") == 77) | (F.get_json_object("props", "$.k") == "9")).select("event_id", "event_type", "props")
+
+
 @query(f"select doc_id, title from documents where layer = 'wiki' and {ACTIVE}")
 def wiki_page_list(t):
     return D.scope(t("documents"), layer="wiki").select("doc_id", "title")

@@ -247,3 +247,14 @@ def backup(df: DataFrame, path: str) -> dict:
     if a != b:
         raise OSError("the copy differs from the table")
     return {"rows": a["n"]}
+
+
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes a graph's topology as JSON lines: ``nodes`` and ``edges`` below ``path``; what was there is replaced."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an exported graph, under their schemas."""
+    return spark.read.schema(nodes).json(f"{path}/nodes"), spark.read.schema(edges).json(f"{path}/edges")

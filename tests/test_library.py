@@ -169,6 +169,14 @@ def test_bundles_and_backups(spark, tmp_path):
     assert files.backup(df, str(tmp_path / "copy")) == {"rows": 2}
 
 
+def test_graph_export(spark, tmp_path):
+    n, e = spark.createDataFrame([("a", 1), ("b", None)], "node string, size int"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    for _ in range(2):
+        files.export_graph(n, e, str(tmp_path / "g"))
+    a, b = files.read_graph(spark, str(tmp_path / "g"), "node string, size int", "src string, dst string")
+    assert sorted(map(tuple, a.collect()), key=str) == [("a", 1), ("b", None)] and [tuple(r) for r in b.collect()] == [("a", "b")]
+
+
 def test_metadata_merge(spark):
     df = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":"3"}'), (None, '{"c":"1"}'), ("bad", None)], "a string, b string")
     assert [r[0] for r in df.select(files.merge_metadata(F.col("a"), F.col("b"))).collect()] == ['{"a":"1","b":"3"}', '{"c":"1"}', "{}"]

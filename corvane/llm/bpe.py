@@ -18,6 +18,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import json
 from dataclasses import dataclass
 from functools import lru_cache
@@ -189,9 +190,12 @@ class Bpe:
             starts, self._ends(starts, F.size(b)), lambda s, e: ids(h, b, s, e))))
 
     def decode(self, ids: Column) -> Column:
-        """Text of an id list: the tokens' bytes, joined."""
-        hexes = literal([t.hex() for t in self.ranks.tokens], "array<string>")
-        return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "UTF-8")
+        """Text of an id list: the tokens' bytes, joined as binary pieces, 256 at a time so that long lists aren't copied over and over."""
+        pieces = literal([base64.b64encode(t).decode() for t in self.ranks.tokens], "array<binary>")
+        none = F.lit(b"")
+        part = lambda i: F.aggregate(F.slice(ids, i * 256 + 1, 256), none, lambda acc, x: F.concat(acc, F.get(pieces, x)))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 256).cast("int")), part)
+        return F.decode(F.when(F.size(ids) == 0, none).otherwise(F.aggregate(parts, none, lambda acc, x: F.concat(acc, x))), "UTF-8")
 
 
 def lookup(dictionary: Column, key: Column) -> Column:

@@ -66,8 +66,6 @@ LIST_LINE = re.compile(r"\s*(?:[-*+•·–—‣◦]|\(?\d{1,3}[.)]|[a-z][.)])[
 WORD = re.compile(r"[^\W_]+(?:['’_.-][^\W_]+)*", re.U)
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[ \t 　]+(?=[ก-ฺเ-๎])")
 THAI = re.compile(r"[ก-ฺเ-๎]")
-THAI_RUN = re.compile(r"[ก-ฺเ-๎]{4,}")
-CJK_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{3,}")
 CHUNK = re.compile(r"\S+")
 ANY_MARK = re.compile("[,;:、，；：،؛\"“”„‘" + re.escape("".join(set(PAIRS) | set(PAIRS.values()))) + "]|[" + "".join(c for c in ENDERS if c not in DOTS) + r"]|[.․﹒．](?!\w)")
 BREAK = re.compile("\r\n|[\n\r\u0085\u2028\x0b\x0c]|\u2029")
@@ -372,6 +370,27 @@ def blocks(text: str, code: bool) -> Iterator[tuple[int, int, bool]]:
             yield run[0][0], run[-1][1], False
 
 
+def letter_runs(texts: list[str]) -> dict[str, dict[str, int]]:
+    """By script: how often each run of three Thai letters, or two of Chinese, Japanese or Korean, stands after another letter of its script."""
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    thai = (code >= 0x0E01) & (code <= 0x0E3A) | (code >= 0x0E40) & (code <= 0x0E4E)
+    cjk = (code >= 0x3040) & (code < 0x3100) | (code >= 0x3400) & (code < 0xA000) | (code >= 0xAC00) & (code < 0xD7B0)
+    out = {}
+    for script, own, width in (("thai", thai, 3), ("cjk", cjk, 2)):
+        out[script] = {}
+        n = len(code) - width
+        if n < 1 or not own.any():
+            continue
+        at = np.flatnonzero(np.logical_and.reduce([own[i:n + i] for i in range(width + 1)])) + 1
+        key = np.zeros(len(at), np.uint64)
+        for i in range(width):
+            key = (key << np.uint64(21)) | code[at + i]
+        keys, counts = np.unique(key, return_counts=True)
+        for k, c in zip(keys.tolist(), counts.tolist()):
+            out[script]["".join(chr(k >> 21 * (width - 1 - i) & 0x1FFFFF) for i in range(width))] = c
+    return out
+
+
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """n-gram counts of the places whose boundary is certain or impossible: (what, token, class, n)."""
     counts: Counter = Counter()
@@ -391,6 +410,10 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(rows, columns=["what", "token", "kind", "n"])
 
     for f in frames:
+        prose = [t for t, k in zip(f["text"], f["kind"]) if k != "code"]
+        for s in range(0, len(prose), 1_000):
+            for script, own in letter_runs(prose[s:s + 1_000]).items():
+                grams[script].update(own)
         for text, kind in zip(f["text"], f["kind"]):
             if kind == "code":
                 continue
@@ -416,9 +439,6 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif not whole and SCRIPT[text[a]] == "thai" == SCRIPT[text[b - 1]]:
                     counts["start", *right_token(text, a, b)] += 1
                     counts["last", *last_token(text, a, b)] += 1
-                for run, width, script in ((THAI_RUN, 3, "thai"), (CJK_RUN, 2, "cjk")):
-                    for r in run.findall(text, a, b) if (THAI if script == "thai" else run).search(text, a, b) else ():
-                        grams[script].update([r[i:i + width] for i in range(1, len(r) - width + 1)])
                 for p in here:
                     if not p.thai:
                         counts["inner", *p.left] += 1
@@ -444,6 +464,8 @@ class Model:
             if kind:
                 self.of[what][kind] += n
         self.total = {w: sum(c.values()) + 1.0 for w, c in self.of.items()}
+        #: how often words that never stand at an edge or a place stand inside, on average; their own counts aren't kept
+        self.typical = {"mid": 1.0, "any": 1.0}
         self.seen: dict = {}
         # share of all boundaries that end a paragraph, from the marks that always end a unit
         e, i = self.of["end"]["strong"], self.of["inner"]["strong"]
@@ -465,11 +487,10 @@ class Model:
 
     def _two(self, token: str, kind: str, a: str, b: str) -> tuple[float, float]:
         """Probabilities of a token under two of the counts, backed off to the same spread over its class."""
-        p = []
-        for what in (a, b):
-            total = self.of[what][kind]
-            p.append((self.by[what][token] + 0.5) / (total + 0.5 * 400))
-        return p[0], p[1]
+        n = {w: self.by[w][token] for w in (a, b)}
+        if not (n[b] or any(token in self.by[w] for w in ("right", "start", "last"))):
+            n[b] = self.typical[b]
+        return tuple((n[w] + 0.5) / (self.of[w][kind] + 0.5 * 400) for w in (a, b))
 
     def side(self, token: tuple[str, str], at: str) -> float:
         """Log-odds of a boundary from the word on one side of a gap; ``at``: start or last."""
@@ -657,7 +678,7 @@ def _unnamed(frames: Iterator[pd.DataFrame], named: dict[str, set[str]]) -> Iter
         yield pd.DataFrame(list(rows), columns=["digest", "side", "token"])
 
 
-def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[Model, DataFrame | None]:
+def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 100_000) -> tuple[Model, DataFrame | None]:
     """Counts the n-grams of all texts: (model, rare).
 
     The ``vocabulary`` most frequent tokens of each side are in the model by name, with
@@ -670,9 +691,11 @@ def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[
     rows = [(r.what, "", r.kind, r.n) for r in counts.groupBy("what", "kind").agg(F.sum("n").alias("n")).collect()]
     side = F.when(F.col("what").isin("end", "inner"), "l").otherwise("r").alias("side")
     tokens = counts.groupBy(side, "token").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in COUNTS])
-    # letters that never start, end or follow anything stand for themselves nowhere
-    n = F.when(F.col("side") == "l", F.col("inner")).otherwise(F.col("right") + F.col("start") + F.col("last") + F.col("mid"))
-    tokens = written(tokens.withColumn("n", n).filter("n > 0"), "tokens")
+    # words that never stand at an edge or a place are told apart by nothing but how often they stand inside: the mean does for them
+    n = F.when(F.col("side") == "l", F.col("inner")).otherwise(F.col("right") + F.col("start") + F.col("last"))
+    tokens = written(tokens.withColumn("n", n), "tokens")
+    rest = tokens.filter("n = 0 and side = 'r'").agg(*[F.avg(F.when(F.col(w) > 0, F.col(w))).alias(w) for w in ("mid", "any")]).first()
+    tokens = tokens.filter("n > 0")
     named, more = {}, False
     for s in "lr":
         top = tokens.filter(F.col("side") == s).orderBy(F.desc("n"), "token").limit(vocabulary + 1).collect()
@@ -680,6 +703,7 @@ def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[
         named[s] = {r.token for r in top[:vocabulary]}
         rows += [(w, r.token, "", r[w]) for r in top[:vocabulary] for w in COUNTS if r[w]]
     model = Model(rows)
+    model.typical = {w: rest[w] or 1.0 for w in ("mid", "any")}
     if not more:
         return model, None
     spark = df.sparkSession
@@ -687,7 +711,7 @@ def fit(df: DataFrame, text: str, kind: str, vocabulary: int = 40_000) -> tuple[
     return model, tokens.join(held, ["side", "token"], "left_anti").select("side", "token", *COUNTS)
 
 
-def sentence_units(df: DataFrame, key: str, text: str, kind: str, vocabulary: int = 40_000) -> DataFrame:
+def sentence_units(df: DataFrame, key: str, text: str, kind: str, vocabulary: int = 100_000) -> DataFrame:
     """(key, start_char, end_char) of every unit of every text; ``kind`` is ``code`` for texts read by line."""
     model, rare = fit(df, text, kind, vocabulary)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind")).filter(F.length("text") > 0)
@@ -695,7 +719,7 @@ def sentence_units(df: DataFrame, key: str, text: str, kind: str, vocabulary: in
         rows = rows.withColumn("rare", F.lit(None).cast("string"))
     else:
         # the counts of a text's rare tokens come to it by a join; equal texts have the same ones
-        named = {"l": set(model.by["inner"]), "r": set().union(*(model.by[w] for w in ("right", "start", "last", "mid")))}
+        named = {"l": set(model.by["inner"]), "r": set().union(*(model.by[w] for w in ("right", "start", "last")))}
         rows = rows.withColumn("digest", F.sha2("text", 256))
         found = rows.select("digest", "text", "kind").mapInPandas(partial(_unnamed, named=named), "digest string, side string, token string").distinct()
         own = found.join(rare, ["side", "token"]).groupBy("digest").agg(F.collect_list(F.struct("token", *COUNTS)).alias("rare"))

@@ -438,6 +438,19 @@ def test_boundaries_without_marks(script):
     assert right / said > 0.9 and right / true > 0.9
 
 
+def test_letter_runs_agree_with_counting():
+    from collections import Counter
+
+    texts = ["ab กขคงจ x กข", "漢字かな交じり、文", "", "กขคงจ漢字"]
+    want = {"thai": Counter(), "cjk": Counter()}
+    for t in texts:
+        for script, width in (("thai", 3), ("cjk", 2)):
+            for i in range(1, len(t) - width + 1):
+                if all(sentences.SCRIPT[c] == script and c.isalnum() for c in t[i - 1:i + width]):
+                    want[script][t[i:i + width]] += 1
+    assert sentences.letter_runs(texts) == {k: dict(v) for k, v in want.items()}
+
+
 def test_chain_agrees_with_enumeration():
     import itertools
     import math

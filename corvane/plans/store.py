@@ -68,7 +68,7 @@ def scope_filter(t):
     return D.scope(t("documents"), wing="atlas", room=" papers ", layer="").select("doc_id", "wing", "kind")
 
 
-@query(f"""select doc_id, title, {US % 'updated_at'} as updated_us, pinned, boost from (select *, doc_id in (select document_id from source_manifest where size_bytes > 2000) as pinned, length(coalesce(lang, '')) as boost from documents)
+@query(f"""select doc_id, title, {US % 'updated_at'} as updated_us, pinned, boost from (select *, doc_id in (select document_id from source_manifest where size_bytes > 2000 and document_id is not null) as pinned, length(coalesce(lang, '')) as boost from documents)
  where {ACTIVE} and trim(kind) = 'note' order by pinned desc, boost desc, updated_at desc nulls last, title asc nulls first, doc_id limit 50""")
 def document_list(t):
     """Pinned notes first, then by boost, age and title. (Documents of large files count as pinned, language codes' length as boost.)"""

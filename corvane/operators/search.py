@@ -159,7 +159,7 @@ def mmr(pool: DataFrame, k: int, share: float = 0.7, per_group: int = 3) -> Data
 
     ``pool`` is the bounded candidate pool of a query (key, grp, score, rank, words), at most 4,096 rows.
     """
-    return pool.limit(4096).coalesce(1).mapInPandas(partial(_mmr, k=k, share=share, per_group=per_group), "key bigint, position int")
+    return pool.orderBy("rank", "key").limit(4096).coalesce(1).mapInPandas(partial(_mmr, k=k, share=share, per_group=per_group), "key bigint, position int")
 
 
 def token_estimate(text: Column) -> Column:

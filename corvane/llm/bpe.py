@@ -212,7 +212,7 @@ def as_dictionary(rows: DataFrame) -> Column:
 
 
 def encode_texts(
-    df: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K, cache_words: int = 24_576, cache_pieces: int = 8_192
+    df: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K, cache_words: int = 18_432, cache_pieces: int = 6_144
 ) -> DataFrame:
     """(key, ids) of every row.
 

@@ -70,6 +70,8 @@ def taken_by_runs(obs: DataFrame, runs: DataFrame) -> DataFrame:
     fs.deleteOnExit(p)
     store = IncrementalStore(spark, f"{path}/store", ("root", "path"))
     most = windows.agg(F.max(F.size("uppers"))).first()[0] or 0
+    if not log.filled():  # no run, or nothing that a run could see
+        return runs.select("run_id", F.lit(None).cast("string").alias("path")).limit(0)
     store.begin(log)
     for upper in range(1, most + 1):
         store.run(log, upper)
@@ -116,6 +118,10 @@ class DeliveryLog:
         """Number of the last delivery, 0 if none."""
         return max([0, *(int(n[4:]) for n in _names(self.spark, self.path) if n.startswith("seq="))])
 
+    def filled(self) -> bool:
+        """Whether anything was delivered."""
+        return any(n.startswith("seq=") for n in _names(self.spark, self.path))
+
     def append(self, rows: DataFrame) -> int:
         """Lands rows as the next delivery and returns its number. Of two that race for a number one fails and may try again."""
         n = self.last() + 1

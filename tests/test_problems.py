@@ -207,3 +207,7 @@ def test_stream_into_store(spark, tmp_path):
 def test_no_runs(spark):
     man, scan, _ = history(spark)
     assert files_taken(man, scan, spark.createDataFrame([], RUNS)).count() == 0
+    man, scan, runs = history(spark)
+    assert files_taken(man.limit(0), scan.limit(0), runs).count() == 0
+    # what is only delivered, never known before
+    assert sorted(tuple(r) for r in files_taken(man.limit(0), scan, runs).collect()) == [(10, "f1"), (12, "f1"), (12, "f2"), (13, "f1")]

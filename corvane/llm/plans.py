@@ -47,7 +47,7 @@ def p6_found(spark, d):
 
 def p6_most_similar(spark, d):
     """The five most similar chunks of every chunk."""
-    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5)
+    near = neighbours.most_similar(load(spark, d, "chunks"), "id", "embedding", DIMS, k=5, degree=24, trees=5)
     return near.select("id", "other", F.round("sim", 9).alias("sim"), "rank")
 
 
@@ -57,7 +57,7 @@ def p6_search(spark, d):
     Queries are all chunks whose id is divisible by 20, against all chunks; each finds itself first.
     """
     codes = written(neighbours.usable(load(spark, d, "chunks"), "id", "embedding", DIMS).select("id", "code"), "codes", "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    graph = neighbours.knn_graph(codes, DIMS)
+    graph = neighbours.knn_graph(codes, DIMS, degree=24, trees=5)
     queries = codes.filter("id % 20 = 0").select(F.col("id").alias("q"), F.col("code").alias("qcode"))
     return neighbours.greedy_search(graph, codes, queries, DIMS).select(F.col("q").alias("query_id"), F.col("id").alias("chunk_id"), F.round("s", 4).alias("sim"))
 
